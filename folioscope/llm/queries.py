@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets, simhash, tokens
+from . import chat, decontaminate, mixing, quality, rules, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -18,24 +18,45 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.union(more)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", (5, 0))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(("assign", "access", "hex")), 256).alias("base_sha256"), secrets.joined().alias("spans"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", (3, 1))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", decontaminate.hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, k=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op3_token_counts, op5_secret_scans, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_token_counts, op4_source_mixing, op5_secret_scans, op7_quality_classifier, op8_benchmark_decontamination, op9_quality_rules, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": r"""
@@ -59,4 +80,23 @@ ORACLES: dict[str, str] = {
             bool_and(ok) and bool_or(back = 1 and role = 'assistant') as valid,
             min(position) filter (where not ok) as error_turn
         from o group by conv_id""",
+    "op8_benchmark_decontamination": r"""
+        with dw as (
+            select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from (select row_number() over () as rowid, * from documents)),
+        bw as (
+            select cast(item_id as varchar) as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark where text is not null),
+        win as (
+            select distinct item, least(len(w), 13) as k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as phrase
+            from (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from bw where len(w) > 0)),
+        dwin as (
+            select r, i, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+            from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, (select distinct k from win) where len(w) >= k)),
+        occ as (select r, i, dwin.k, item from dwin join win on dwin.k = win.k and dwin.phrase = win.phrase),
+        hit as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from (select distinct r, i, k from occ)) group by r),
+        it as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from occ) group by r)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from dw left join hit using (r) left join it using (r)""",
 }
