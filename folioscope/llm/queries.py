@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, rules, secrets, simhash, tokens, toxicity
+from . import chat, decontaminate, mixing, quality, repeats, rules, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(("assign", "access", "hex")), 256).alias("base_sha256"), secrets.joined().alias("spans"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", (3, 1))
 
@@ -56,7 +60,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_token_counts, op4_source_mixing, op5_secret_scans, op7_quality_classifier, op8_benchmark_decontamination, op9_quality_rules, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_token_counts, op4_source_mixing, op5_secret_scans, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_quality_rules, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": r"""

@@ -47,35 +47,40 @@ def unpack(table: tuple[bytes, bytes]) -> dict[str, int]:
     return dict(zip(table[0].decode().split(" ") if table[0] else [], np.frombuffer(table[1], np.uint32).tolist(), strict=True))
 
 
-class Lengths(dict):
-    """Second tier: what the broadcast table lacks is encoded once and kept, up to `most` entries."""
+class Lengths:
+    """Both tiers: the broadcast table, and what it lacks, which is encoded once and kept, up to `most`
+    entries."""
 
     def __init__(self, table: tuple[bytes, bytes], path: str, most: int = 300_000):
-        super().__init__(unpack(table))
-        self.path, self.most, self.first, self.tokenizer = path, most, unpack(table), None
+        self.first = unpack(table)
+        self.known, self.path, self.most, self.tokenizer = dict(self.first), path, most, None
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the unknown words of a batch together."""
+    def encoded(self, words: list[str]) -> dict[str, int]:
+        """Lengths of pre-tokens: many are encoded as one text, and offsets tell whose a token is."""
         self.tokenizer = self.tokenizer or load(self.path)
-        if len(self) + len(words) > self.most:
-            self.clear()
-            self.update(self.first)
-        todo = list(words)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            self.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-
-    def count(self, text: str) -> int:
-        words = pre_tokens(text)
-        if miss := set(words).difference(self):
-            self.learn(miss)
-            if miss - self.keys():  # a text with more words than the cache holds
-                return sum(len(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words)
-        n = sum(map(self.__getitem__, words))
-        for w in miss:
+        out: dict[str, int] = {}
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            tokens = np.array([o[0] for o in self.tokenizer.encode(" ".join(part), add_special_tokens=False).offsets], np.int64)
+            out.update(zip(part, np.bincount(np.searchsorted(starts, tokens, "right") - 1, minlength=len(part)).tolist(), strict=True))
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Token counts of texts; the words that neither tier has are encoded together."""
+        words = [pre_tokens(t) for t in texts]
+        new = self.encoded(list(set().union(*words).difference(self.known)))
+        if len(self.known) + len(new) > self.most:
+            self.known = dict(self.first)
+            new = self.encoded(list(set().union(*words).difference(self.known)))
+        self.known.update(new)
+        out = [sum(map(self.known.__getitem__, w)) for w in words]
+        for w in new:
             if len(w) > KEEP:
-                self.pop(w, None)
-        return n
+                del self.known[w]
+        if len(self.known) > self.most:
+            self.known = dict(self.first)
+        return out
 
 
 def frequent(docs: DataFrame, text_col: str, size: int, each: int) -> list[str]:
@@ -114,9 +119,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         lengths = Lengths(table.value, path)
         for batch in batches:
-            for b in pieces(batch, text_col, 8 << 20):
+            for b in pieces(batch, text_col, 2 << 20):
                 texts = as_text(b, text_col)
-                n = [lengths.count(x) for x in texts]
+                n = lengths.counts(texts)
                 yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
