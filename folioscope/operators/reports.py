@@ -38,6 +38,12 @@ def output_mb(profile: str) -> Column:
     return F.coalesce(F.try_element_at("outputs", F.lit(profile))["mb"], F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """To some digits, half up. Nine digits first: a sum's last bits, which depend on the order of its
+    rows, then don't tip a half."""
+    return F.round(F.round(x, 9), digits)
+
+
 def metrics(rows: DataFrame) -> list[Column]:
     """The figures of a summary. Minutes are of all rows, pages and megabytes of the `ok` ones; the
     mean takes skipped and failed books too."""
@@ -49,8 +55,8 @@ def metrics(rows: DataFrame) -> list[Column]:
     ratio = lambda a, b: a / F.nullif(b.cast("double"), F.lit(0.0))
     return [
         F.count("*").alias("books"), F.count_if(ok).alias("produced"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "error").alias("errors"),
-        pages.cast("long").alias("pages"), F.round(mb, 1).alias("pdf_mb"), F.round(archival, 1).alias("archival_mb"), F.round(ratio(mb, pages), 3).alias("mb_per_page"),
-        total(F.col("ocr_chars")).cast("long").alias("ocr_chars"), F.round(minutes, 1).alias("minutes"), F.round(ratio(pages, minutes), 1).alias("pages_per_min"), F.round(ratio(minutes, F.count("*")), 2).alias("mean_minutes_per_book"),
+        pages.cast("long").alias("pages"), rounded(mb, 1).alias("pdf_mb"), rounded(archival, 1).alias("archival_mb"), rounded(ratio(mb, pages), 3).alias("mb_per_page"),
+        total(F.col("ocr_chars")).cast("long").alias("ocr_chars"), rounded(minutes, 1).alias("minutes"), rounded(ratio(pages, minutes), 1).alias("pages_per_min"), rounded(ratio(minutes, F.count("*")), 2).alias("mean_minutes_per_book"),
     ]
 
 

@@ -43,11 +43,11 @@ REPORT_SQL = """r as (select event_type as source, user_id as book_id, event_id
   l as (select * from (select *, row_number() over (partition by source, book_id order by line_no desc) as rn from r) where rn = 1)"""
 METRICS_SQL = """count(*) as books, count(*) filter (where status = 'ok') as produced, count(*) filter (where status = 'skipped') as skipped,
     count(*) filter (where status = 'error') as errors, cast(coalesce(sum(n_pages) filter (where status = 'ok'), 0) as bigint) as pages,
-    round(coalesce(sum(pdf_mb) filter (where status = 'ok'), 0), 1) as pdf_mb, round(coalesce(sum(arch) filter (where status = 'ok'), 0), 1) as archival_mb,
-    round(coalesce(sum(pdf_mb) filter (where status = 'ok'), 0) / nullif(cast(sum(n_pages) filter (where status = 'ok') as double), 0), 3) as mb_per_page,
-    cast(coalesce(sum(ocr_chars) filter (where status = 'ok'), 0) as bigint) as ocr_chars, round(coalesce(sum(minutes), 0), 1) as minutes,
-    round(coalesce(sum(n_pages) filter (where status = 'ok'), 0) / nullif(cast(sum(minutes) as double), 0), 1) as pages_per_min,
-    round(sum(minutes) / count(*), 2) as mean_minutes_per_book"""
+    round(round(coalesce(sum(pdf_mb) filter (where status = 'ok'), 0), 9), 1) as pdf_mb, round(round(coalesce(sum(arch) filter (where status = 'ok'), 0), 9), 1) as archival_mb,
+    round(round(coalesce(sum(pdf_mb) filter (where status = 'ok'), 0) / nullif(cast(sum(n_pages) filter (where status = 'ok') as double), 0), 9), 3) as mb_per_page,
+    cast(coalesce(sum(ocr_chars) filter (where status = 'ok'), 0) as bigint) as ocr_chars, round(round(coalesce(sum(minutes), 0), 9), 1) as minutes,
+    round(round(coalesce(sum(n_pages) filter (where status = 'ok'), 0) / nullif(cast(sum(minutes) as double), 0), 9), 1) as pages_per_min,
+    round(round(sum(minutes) / count(*), 9), 2) as mean_minutes_per_book"""
 
 
 def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
