@@ -213,7 +213,8 @@ def entries(docs: DataFrame, grams: DataFrame, how: Repeat) -> DataFrame:
 def contexts(docs: DataFrame, wanted: DataFrame, how: Repeat) -> DataFrame:
     """(gram, whole, n, after, phrase, follow): the bytes of each wanted entry, before its anchor and
     from there. wanted has one entry of each kind; they meet their text by its key."""
-    by_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "whole", "n", "a", "before", "after")).alias("list"))
+    # Written first, so that the join may split the copies of a text over tasks.
+    by_text = stored(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "whole", "n", "a", "before", "after")).alias("list")))
 
     def run(batches):
         for b in batches:
@@ -339,7 +340,7 @@ def removed(docs: DataFrame, text_col: str = "text", how: Repeat = Repeat()) ->
     verdict = every.union(small).union(large)
     runs = F.coalesce("runs", F.array(F.struct(F.col("after").alias("x0"), F.col("before").alias("x1"))))
     cut = found.join(verdict, ["gram", "whole"]).select("k1", "k2", "a", F.explode(runs).alias("x")).select("k1", "k2", (F.col("a") - F.col("x.x1")).alias("s"), (F.col("a") - F.col("x.x0") + how.length).alias("e"))
-    cuts = cut.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    cuts = stored(cut.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
     return keyed.join(cuts, ["k1", "k2"], "left")
 
 
