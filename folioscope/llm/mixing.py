@@ -135,14 +135,18 @@ def mix_sizes(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_co
 
     A null or blank text has size 0 and is never taken. A null source is a source. Equal rows share
     their fate, and the same input gives the same draw. An empty table gives an empty one."""
-    rows = stored(measured(docs.select(id_col, text_col, F.col(source_col)), how, id_col, text_col, source_col).select(F.col(id_col), "_key", "_size", "_tier", "_u"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows = stored(measured(plain, how, "id", "text", "source").select("id", "_key", "_size", "_tier", "_u"))
     out = drawn(rows, planned(rows, how), how)
-    return out.select(id_col, F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:  # noqa: B008
-    """The documents that the mix takes, with all their columns, `copies`, and the words `taken`."""
-    rows = measured(docs, how, id_col, text_col, source_col)
+    """The documents that the mix takes, with all their columns, `copies`, and the words `taken`;
+    columns of docs with these two names are replaced."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = measured(docs.toDF(*names.values()), how, names[id_col], names[text_col], names[source_col])
     small = stored(rows.select("_key", "_size", "_tier", "_u"))
     out = drawn(rows, planned(small, how), how).filter("_copies > 0")
-    return out.select(*docs.columns, F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    kept = [F.col(v).alias(k) for k, v in names.items() if k not in ("copies", "taken")]
+    return out.select(*kept, F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -61,7 +61,7 @@ def masks(free: list[int], m: int, k: int) -> list[tuple[int, list[int]]]:
     parts = blocks(free, m)
     out = []
     for chosen in combinations(range(len(parts)), max(0, len(parts) - k)):
-        bits = [b for i in chosen for b in parts[i]]
+        bits = {b for i in chosen for b in parts[i]}
         mask = sum(1 << b for b in bits)
         out.append((mask - (1 << BITS) if mask >> (BITS - 1) else mask, [b for b in free if b not in bits]))
     return out
@@ -72,40 +72,36 @@ def block_count(n: int, k: int) -> int:
     return min(range(k + 1, k + 6), key=lambda m: comb(m, k) * n * (1 + n / 2 / 2.0 ** (BITS * (m - k) // m)))
 
 
-def keyed(values: DataFrame, tables: list[tuple[int, list[int]]], salt: int) -> DataFrame:
-    """(key, fp, free) rows: one for each value and table. Hash clashes of a key only add candidates."""
-    rows = [F.struct(F.xxhash64(F.lit(salt), F.lit(t), F.col("prior"), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))).alias("key"), F.lit(t).alias("t")) for t, (mask, _) in enumerate(tables)]
-    return values.select("fp", F.explode(F.array(*rows)).alias("x")).select("x.key", "fp", "x.t")
-
-
 def links(values: DataFrame, k: int = 3, m: int | None = None, hot: int = 256) -> DataFrame:
     """(a, b), a < b: every pair of distinct `fp` of values with at most k differing bits.
 
     Pairs come from buckets, the values that agree under a mask. A bucket of over `hot` values is
     not paired: its values are split again by the pigeonhole principle over the bits that are still
-    free, with masks of their own, until the buckets are small or so few bits are free that their
-    number is bounded by that. So the work stays in proportion to the values, and no link is lost."""
-    values = values.select(F.col("fp"), F.lit(0).cast("long").alias("prior"))
-    m = m or block_count(max(1, values.count()), k)
-    found: DataFrame | None = None
-    todo: list[tuple[DataFrame, list[int]]] = [(values, list(range(BITS)))]
-    depth = 0
-    while todo:
-        again = []
-        for vals, free in todo:
-            tables = masks(free, m, k)
-            keys = keyed(vals, tables, depth)
-            many = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-            last = len(free) <= 2 * k + 4
-            cold = keys.join(many if last else many.filter(F.col("n") <= hot), "key").select("key", "fp")
-            a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
-            pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k)).select("a", "b")
-            found = pairs if found is None else found.union(pairs)
-            if not last and not many.filter(F.col("n") > hot).isEmpty():
-                deep = stored(keys.join(many.filter(F.col("n") > hot), "key").select("fp", F.col("key").alias("prior"), "t"))
-                again += [(deep.filter(F.col("t") == t).drop("t"), left) for t, (_, left) in enumerate(tables)]
-        todo, depth = again, depth + 1
-    return found.distinct()
+    free, with masks of their own, until buckets are small or so few bits are free (ten) that this
+    bounds them. So the work stays in proportion to the values, and no link is lost. Each level is one
+    plan for all buckets; its masks, whose number m and k bound, are a table of a few thousand rows."""
+    spark = values.sparkSession
+    vals = values.select("fp", F.lit(0).cast("long").alias("prior"), F.lit(0).alias("branch"))
+    m, found, frees = m or block_count(max(1, values.count()), k), None, [list(range(BITS))]
+    while True:
+        rows, after = [], []
+        for branch, free in enumerate(frees):
+            for mask, left in masks(free, m, k):
+                rows.append((branch, mask, len(after)))
+                after.append(left)
+        table = F.broadcast(spark.createDataFrame(rows, "branch int, mask long, next int"))
+        # Hash clashes of a key only add candidates.
+        keys = vals.join(table, "branch").select(F.xxhash64("prior", "next", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "next")
+        many = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        last = max(map(len, after)) <= 10
+        cold = keys.join(many if last else many.filter(F.col("n") <= hot), "key").select("key", "fp")
+        a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
+        pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k)).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        if last or many.filter(F.col("n") > hot).isEmpty():
+            return found.distinct()
+        vals = stored(keys.join(many.filter(F.col("n") > hot), "key").select("fp", F.col("key").alias("prior"), F.col("next").alias("branch")))
+        frees, m = after, k + 3
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, k: int = 3, hot: int = 256) -> DataFrame:
