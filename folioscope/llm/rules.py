@@ -91,9 +91,9 @@ def cutoffs(good: DataFrame, how: Risk) -> DataFrame:
     level = lambda rule: F.size(F.filter(grid(rule), lambda c: F.col(rule) > c))
     levels = good.select("_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])).alias("x"))
     counts = levels.groupBy("_stratum", "x.rule").pivot("x.level", list(range(how.steps + 1))).count()
-    above = lambda j: reduce(lambda a, b: a + b, [F.coalesce(F.col(str(i)), F.lit(0)) for i in range(j + 1, how.steps + 1)])
-    # level > j holds for a document beyond the cutoff j
-    tests = counts.select("_stratum", "rule", (above(-1)).alias("n"), F.posexplode(F.array(*[above(j) for j in range(how.steps)])).alias("j", "k"))
+    from_ = lambda least: reduce(lambda a, b: a + b, [F.coalesce(F.col(str(i)), F.lit(0)) for i in range(least, how.steps + 1)])
+    # The strictest `level` cutoffs are those that a document is beyond: cutoff j if level >= steps - j.
+    tests = counts.select("_stratum", "rule", from_(0).alias("n"), F.posexplode(F.array(*[from_(how.steps - j) for j in range(how.steps)])).alias("j", "k"))
     strata = good.select("_stratum").distinct().count()
     part = how.alpha / len(RULES)
     bar = math.log(how.delta / max(1, strata * len(RULES) * how.steps))

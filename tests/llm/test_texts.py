@@ -139,7 +139,7 @@ def test_binomial_tail(spark):
 
     from pyspark.sql import functions as F
 
-    rows = [(k, n) for n in (1, 9, 300, 2000) for k in (0, 1, n // 100)]
+    rows = [(float(k), float(n)) for n in (1, 9, 300, 2000) for k in (0, 1, n // 100)]
     df = spark.createDataFrame(rows, "k double, n double").filter("k <= n * 0.01")
     for r in df.select("k", "n", rules.log_tail(F.col("k"), F.col("n"), 0.01).alias("t")).collect():
         exact = sum(comb(int(r.n), i) * 0.01**i * 0.99 ** (r.n - i) for i in range(int(r.k) + 1))
