@@ -59,7 +59,7 @@ class Plan:
             try:
                 for _, tool in tools:
                     record = record | (tool(record) or {})
-                row |= {k: v for k, v in record.items() if k in names}
+                row |= {k: v for k, v in record.items() if k in names and (k == "outputs" or not isinstance(v, dict))}
             except Exception as e:  # noqa: BLE001 - one book's failure is its row
                 row |= {"status": "error", "error": str(e)[:500]}
             return row | {"minutes": round((time.time() - began) / 60, 2)}

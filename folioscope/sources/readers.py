@@ -24,13 +24,17 @@ def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, folder: str, prefix: str = "batch_report") -> DataFrame:
-    """All logs of a folder whose name starts with the prefix."""
-    return json_log(spark, f"{folder}/{prefix}*.jsonl", schemas.REPORT)
+    """All logs of a folder whose name starts with the prefix; no rows if there are none."""
+    return log_or_none(spark, f"{folder}/{prefix}*.jsonl", schemas.REPORT)
 
 
 def publish_log(spark: SparkSession, path: str) -> DataFrame:
     """The import log; an absent one has no rows."""
-    return json_log(spark, path, schemas.PUBLISH) if exists(spark, path) else spark.createDataFrame([], f"file string, line_no int, {schemas.PUBLISH}")
+    return log_or_none(spark, path, schemas.PUBLISH)
+
+
+def log_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return json_log(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], f"file string, line_no int, {schema}")
 
 
 def exists(spark: SparkSession, pattern: str) -> bool:
