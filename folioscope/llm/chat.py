@@ -74,7 +74,7 @@ def format_chats(rows: DataFrame, template: Template | None = None, conv: str =
     t, kind = template or Template(), rows.schema[conv].dataType
     picked = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("conv_id", kind), T.StructField("position", T.LongType()), T.StructField("ok", T.BooleanType()), T.StructField("state", T.StringType())])
-    schema = schema.add("segments", T._parse_datatype_string(SEGMENTS))
+    schema = T.StructType([*schema, *T.StructType.fromDDL(f"segments {SEGMENTS}")])
     inner = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
 
     def run(batches):

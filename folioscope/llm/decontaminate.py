@@ -238,7 +238,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     A null or empty text has no words; benchmark items without words have no phrases; equal items are
     listed once; rows repeat as in docs. Each block after the first adds to what the ones before found."""
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(f"spans {SPANS}"), T.StructField("items", T.ArrayType(T.StringType()))])
     inner = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out, first = docs.select(*[f.name for f in kept]), True
     for phrases in phrase_blocks(benchmark, item_col, item_text, how):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from itertools import combinations, repeat
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, per_batch, stored
+from .common import LOWER, as_bytes, stored
 from .graph import components
 
 BITS = 64
@@ -67,12 +66,7 @@ def masks(free: list[int], m: int, k: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def block_count(n: int, k: int) -> int:
-    """Blocks for n values: the fewest rows and expected candidates together, were the bits even."""
-    return min(range(k + 1, k + 6), key=lambda m: comb(m, k) * n * (1 + n / 2 / 2.0 ** (BITS * (m - k) // m)))
-
-
-def links(values: DataFrame, k: int = 3, m: int | None = None, hot: int = 256) -> DataFrame:
+def links(values: DataFrame, k: int = 3, m: int = 6, hot: int = 256) -> DataFrame:
     """(a, b), a < b: every pair of distinct `fp` of values with at most k differing bits.
 
     Pairs come from buckets, the values that agree under a mask. A bucket of over `hot` values is
@@ -82,16 +76,19 @@ def links(values: DataFrame, k: int = 3, m: int | None = None, hot: int = 256) -
     plan for all buckets; its masks, whose number m and k bound, are a table of a few thousand rows."""
     spark = values.sparkSession
     vals = values.select("fp", F.lit(0).cast("long").alias("prior"), F.lit(0).alias("branch"))
-    m, found, frees = m or block_count(max(1, values.count()), k), None, [list(range(BITS))]
+    found, frees = None, [list(range(BITS))]
     while True:
         rows, after = [], []
         for branch, free in enumerate(frees):
             for mask, left in masks(free, m, k):
                 rows.append((branch, mask, len(after)))
                 after.append(left)
-        table = F.broadcast(spark.createDataFrame(rows, "branch int, mask long, next int"))
+        if len(frees) == 1:
+            masked = vals.select("fp", "prior", F.inline(F.array(*[F.struct(F.lit(mask).cast("long").alias("mask"), F.lit(n).alias("next")) for _, mask, n in rows])))
+        else:
+            masked = vals.join(F.broadcast(spark.createDataFrame(rows, "branch int, mask long, next int")), "branch")
         # Hash clashes of a key only add candidates.
-        keys = vals.join(table, "branch").select(F.xxhash64("prior", "next", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "next")
+        keys = masked.select(F.xxhash64("prior", "next", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "next")
         many = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
         last = max(map(len, after)) <= 10
         cold = keys.join(many if last else many.filter(F.col("n") <= hot), "key").select("key", "fp")
@@ -101,7 +98,7 @@ def links(values: DataFrame, k: int = 3, m: int | None = None, hot: int = 256) -
         if last or many.filter(F.col("n") > hot).isEmpty():
             return found.distinct()
         vals = stored(keys.join(many.filter(F.col("n") > hot), "key").select("fp", F.col("key").alias("prior"), F.col("next").alias("branch")))
-        frees, m = after, k + 3
+        frees, m = after, k + 3  # each level leaves about half of the bits free
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, k: int = 3, hot: int = 256) -> DataFrame:
