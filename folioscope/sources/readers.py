@@ -6,6 +6,7 @@ import tomllib
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,11 @@ def log_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def exists(spark: SparkSession, pattern: str) -> bool:
     """Whether any file matches, on whatever file system the path names."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return bool(found)
+    try:
+        spark.read.format("binaryFile").load(pattern)
+    except AnalysisException:
+        return False
+    return True
 
 
 def json_documents(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
