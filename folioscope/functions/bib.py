@@ -69,6 +69,13 @@ def footer(publisher: C, year: C) -> Column:
     return F.concat_ws(" · ", F.nullif(col(publisher), F.lit("")), F.when(col(year) != 0, col(year).cast("string")))
 
 
+def metadata_arguments(title: C, authors: C, language: C, creator: str = "folioscope") -> Column:
+    """Arguments that give a PDF its title, authors and language, as far as there are any."""
+    pair = lambda flag, value: F.when(F.coalesce(value, F.lit("")) != "", F.array(F.lit(flag), value)).otherwise(F.array().cast("array<string>"))
+    names = F.array_join(F.coalesce(col(authors), F.array().cast("array<string>")), "; ")
+    return F.concat(F.array(F.lit("--metadata-creatortool"), F.lit(creator)), pair("--metadata-title", col(title)), pair("--metadata-author", names), pair("--metadata-language", col(language)))
+
+
 def faculty_key(c: C) -> Column:
     """A faculty's short name: as a word of the text, else by parts of names in order; `stu` if none."""
     text = F.lower(strip(F.coalesce(col(c), F.lit(""))))

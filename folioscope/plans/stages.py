@@ -150,3 +150,8 @@ def publish_plan(spark: SparkSession, books: DataFrame, recs: DataFrame, log: Da
         side = sidecars.select(F.col("source"), F.col("book_id"), F.struct(*[c for c in sidecars.columns if c != "path"]).alias("_side"))
         built = built.join(side, ["source", "book_id"], "left").withColumn("manifest", F.coalesce(F.col("_side").cast(built.schema["manifest"].dataType), "manifest"))
     return built.select("source", "book_id", F.col("manifest.catalog").alias("catalog"), bib.entry_payload(F.col("manifest")).alias("payload"), F.col("pdf") if "pdf" in built.columns else F.col("manifest.pdf").alias("pdf"))
+
+
+def conformance(validator: Callable[[str], bool] | None) -> Callable[[dict], dict]:
+    """A tool that checks a book's PDF: true, false, or null where no validator is installed."""
+    return lambda record: {"conforms": None if validator is None else bool(validator(record["pdf"]))}

@@ -197,3 +197,15 @@ def save_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 
 
+def load_stats(spark, path: str, schema: str) -> DataFrame | None:
+    """What save_stats wrote, or None if nothing was."""
+    from .readers import exists
+
+    return spark.read.schema(schema).json(path) if exists(spark, path) else None
+
+
+def free_gb(folder: str) -> float:
+    """Gigabytes free on a folder's disk."""
+    import shutil
+
+    return shutil.disk_usage(folder).free / 1e9

@@ -91,3 +91,8 @@ def test_profiles():
     assert only.pdfa == "2u"
     with pytest.raises(ValueError, match="unknown profile"):
         covers.profiles({"render": {"outputs": ["x"]}})
+
+
+def test_pdf_metadata(spark):
+    args = bib.metadata_arguments("v", F.array(F.lit("A"), F.lit("B")), F.lit(None).cast("string"), "x")
+    assert values(spark, ["T", None], args) == [["--metadata-creatortool", "x", "--metadata-title", "T", "--metadata-author", "A; B"], ["--metadata-creatortool", "x", "--metadata-author", "A; B"]]

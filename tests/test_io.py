@@ -160,3 +160,11 @@ def test_stage_copies(spark):
     assert [r.path for r in sinks.staged(pages, there).collect()] == ["/a/p2.tif"]
     for ddl in (REPORT, PUBLISH, HEARTBEAT):
         assert spark.createDataFrame([], ddl).count() == 0
+
+
+def test_saved_stats(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    assert sinks.load_stats(spark, path, "source string, n_books long") is None
+    sinks.save_stats(spark.createDataFrame([("fad", 2)], "source string, n_books long"), path)
+    assert sinks.load_stats(spark, path, "source string, n_books long").first().n_books == 2 and sinks.free_gb(path) > 0
+    assert stages.conformance(None)({"pdf": "x"}) == {"conforms": None} and stages.conformance(lambda p: p == "x")({"pdf": "x"})["conforms"]

@@ -195,3 +195,21 @@ def test_images(spark):
     frames = spark.createDataFrame([("b", 0, bytearray(spread().tobytes()), 800, 1200), ("b", 1, bytearray(b"x"), 800, 1200)], "book string, page int, data binary, height int, width int")
     got = {r.page: r for r in images.layouts(frames, ["book", "page"]).collect()}
     assert got[0].is_spread and not got[0].skipped and got[1].skipped and got[1].x0 is None
+
+
+def test_deskew():
+    page = np.full((400, 600, 3), 240, np.uint8)
+    for y in range(40, 360, 20):
+        page[y : y + 6, 60:540] = 20
+    y, x = np.mgrid[0:400, 0:600]
+    leaning = page[np.clip(np.rint(y - (x - 300) * np.tan(np.radians(2.0))).astype(int), 0, 399), x]
+    assert images.skew(leaning) == pytest.approx(2.0, abs=0.3)
+    upright, angle = images.deskew(leaning)
+    assert angle == pytest.approx(2.0, abs=0.3) and abs(images.skew(upright)) <= 0.3 and upright.shape == page.shape
+
+
+def test_unreadable_books(spark):
+    ok = spark.createDataFrame([("a", False), ("a", True)], "book string, skipped boolean")
+    assert structure.require_readable(ok, ["book"]).first().n_frames == 1
+    with pytest.raises(Exception, match="no readable frame"):
+        structure.require_readable(spark.createDataFrame([("b", True)], "book string, skipped boolean"), ["book"]).collect()
