@@ -25,14 +25,12 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a < b); root is the smallest node of its component.
     Every round is written, so that the plan stays short; only a count and a sum reach the driver."""
     edges = stored(edges)
     mark = _mark(edges)
-    for _ in range(most):
-        if not mark[0]:
-            break
+    while mark[0]:
         edges = stored(_small(_large(edges)))
         if (now := _mark(edges)) == mark:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from itertools import chain
 from zlib import crc32
@@ -83,8 +84,8 @@ class Net:
             at += size
         return np.hstack(out) + self.bias
 
-    def train(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """docs: (tokens, VIEWS) bucket numbers. Adagrad on the logistic loss; max pooling sends the
+    def train(self, table: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> None:
+        """table: bucket numbers (words, VIEWS); docs: the words of each text, by their row. Adagrad on the logistic loss; max pooling sends the
         gradient to one token for each text and filter."""
         h, rng = self.how, np.random.default_rng(self.how.seed + 1)
         pad, f = max(h.sizes) - 1, h.filters
@@ -101,7 +102,7 @@ class Net:
             order = rng.permutation(len(docs))
             for s in range(0, len(order), h.batch):
                 pick = order[s : s + h.batch]
-                ids = np.concatenate([x for i in pick for x in (docs[i], np.full((pad, VIEWS), -1, np.int32))])
+                ids = np.concatenate([x for i in pick for x in (table[docs[i]], np.full((pad, VIEWS), -1, np.int32))])
                 starts = np.cumsum([0, *(len(docs[i]) + pad for i in pick)])[:-1]
                 e = np.zeros((len(ids), h.width), np.float32)
                 real = ids[:, 0] >= 0
@@ -277,19 +278,23 @@ def train(rows: list, how: Fit = Fit()) -> Scorer:  # noqa: B008
     y = np.array([r[2] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Scorer(net, {"": -1e6 if len(y) and y[0] == 1 else 1e6}, 1.0)
-    known: dict[bytes, list[int]] = {}
+    index: dict[bytes, int] = {}
+    buckets = array("i")
     docs = []
     for r in rows:
         words = words_of(r[1]) or [b""]
         for w in words:
-            if w not in known:
-                known[w] = ids_of(w, how.buckets)
-        docs.append(np.array([known[w] for w in words], np.int32))
+            if w not in index:
+                index[w] = len(index)
+                buckets.extend(ids_of(w, how.buckets))
+        docs.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+    index.clear()
+    table = np.frombuffer(buckets, np.int32).reshape(-1, VIEWS)
     apart = np.array([crc32(str(r[0]).encode() + b"#") % how.holdback == 0 for r in rows])
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart = np.zeros(len(rows), bool)
     learn = np.flatnonzero(~apart)
-    net.train([docs[i] for i in learn], y[learn])
+    net.train(table, [docs[i] for i in learn], y[learn])
     check = np.flatnonzero(apart) if apart.any() else learn
     scorer = Scorer(net, {"": 0.0}, 1.0)
     z, said = scorer.logits([rows[i][1] for i in check])
