@@ -26,7 +26,7 @@ class Search:
 
     window: int = 13
     block_bytes: int = 16 << 20
-    shard_bytes: int = 12 << 20
+    shard_bytes: int = 6 << 20
     sample: int = 8
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, fold, stored
+from .common import LOWER, as_bytes, fold, pieces, stored
 
 _CODES = np.arange(256)
 _CLASSES = np.stack([
@@ -20,6 +20,8 @@ _CLASSES = np.stack([
     np.isin(_CODES, list(b".,;:?'\"()-")), np.isin(_CODES, list(b"#*$%&<>=~^@\\_{}[]")), _CODES == ord("|"), _CODES == ord("!"), _CODES == 10, _CODES == 32,
 ]).astype(np.float64)
 STATS = 22
+#: Bytes of text that a worker turns into Python objects at once.
+PIECE = 8 << 20
 
 
 def statistics(text: bytes) -> np.ndarray:
@@ -105,9 +107,10 @@ def stats_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for b in batches:
-            rows = [statistics(x).tolist() for x in as_bytes(b, text_col)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "stats"])
+        for batch in batches:
+            for b in pieces(batch, text_col, PIECE):
+                rows = [statistics(x).tolist() for x in as_bytes(b, text_col)]
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "stats"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -201,8 +204,8 @@ def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hel
     model = trained(stored(stats_of(docs, id_col, text_col)), labels, label_col, held, id_col, how)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for b in pieces(batch, text_col, PIECE):
                 good = model.score(np.array([statistics(x) for x in as_bytes(b, text_col)])) >= least
                 yield b.filter(pa.array(good))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, stored
+from .common import LOWER, as_bytes, pieces, stored
 from .graph import components
 
 BITS = 64
@@ -41,8 +41,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for b in pieces(batch, text_col, 8 << 20):
                 fp = pa.array([fingerprint(x, shingle) for x in as_bytes(b, text_col)], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(id_col), fp], names=[id_col, "fp"])
 
