@@ -160,8 +160,9 @@ def validate_catalog(spark, sf_dir):
 def book_totals_left_join(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), "n_nationkey")
     cust = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(nation), "n_nationkey")
-    totals = cust.groupBy("source").agg(F.count("*").alias("total"))
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 12 = 0").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    totals = lines.join(o, "o_orderkey").groupBy("source").agg(F.count("*").alias("total"))
     rows = o.select("source", F.when(F.col("o_orderstatus") == "F", "ok").otherwise("skipped").alias("status"), F.lit(0).alias("n_pages"), F.lit(0.0).alias("pdf_mb"), F.lit(0).alias("ocr_chars"), (F.col("o_orderkey") % 7).cast("double").alias("minutes"))
     return reports.progress_table(nation, reports.summarize_by_source(rows), totals).select("source", "total", "books", "produced", "pct", "eta_minutes")
 
