@@ -30,3 +30,8 @@ def test_book_totals_count_every_order(spark):
 def test_book_totals_have_pct_and_eta(spark):
     rows = run(spark, "book_totals_left_join").filter("total > books").collect()
     assert rows and all(r.pct == round(100 * r.books / r.total, 1) and r.eta_minutes > 0 for r in rows)
+
+
+def test_corpus_totals_count_every_order(spark):
+    got = {r.status: r.n for r in run(spark, "corpus_totals").collect()}
+    assert got == dict(sql("select o_orderpriority, count(*) from orders group by 1 union all select 'TOTAL', count(*) from orders"))
