@@ -111,7 +111,7 @@ def sheet(spark, sf_dir) -> DataFrame:
 
 def wanted(spark, sf_dir) -> DataFrame:
     """Line items as books: named by number, by slug, or unknown to the catalog."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("o"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("o"))
     name = F.when(F.col("o") % 3 == 0, F.concat(F.lit("CVI_OPACID_FA_"), F.lpad(F.col("k").cast("string"), 9, "0"), F.lit("_X"))).when(F.col("o") % 3 == 1, F.concat(F.lit("fa_SLUG."), F.col("k").cast("string"))).otherwise(F.concat(F.lit("OLD_BOOK_"), F.col("k").cast("string")))
     return rows.select(F.col("o").alias("order"), name.alias("book_id"), F.when(F.col("o") % 2 == 0, "fad").otherwise("mtf").alias("source"))
 
@@ -142,7 +142,8 @@ def catalog_lookup(spark, sf_dir):
     (select string_agg(book_id, ',' order by "order", book_id) from (select * from looked where rec is null order by "order", book_id limit 20)) as miss_sample from looked""")
 def match_report(spark, sf_dir):
     recs = cat.records(sheet(spark, sf_dir), order="row_no")
-    out = cat.match_report(cat.lookup(wanted(spark, sf_dir), recs), recs.count(), ["order"])
+    looked = cat.lookup(wanted(spark, sf_dir), recs).withColumn("name", F.col("book_id"))
+    out = cat.match_report(looked, recs.count(), ["order", "name"])
     return out.select("books", "matched", "missed", F.col("catalog_rows").cast("long").alias("catalog_rows"), F.array_join("miss_sample", ",").alias("miss_sample"))
 
 

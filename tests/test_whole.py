@@ -35,3 +35,33 @@ def test_book_totals_have_pct_and_eta(spark):
 def test_corpus_totals_count_every_order(spark):
     got = {r.status: r.n for r in run(spark, "corpus_totals").collect()}
     assert got == dict(sql("select o_orderpriority, count(*) from orders group by 1 union all select 'TOTAL', count(*) from orders"))
+
+
+def wanted():
+    """(order, book_id, source) of every line item."""
+    name = "case l_orderkey % 3 when 0 then 'CVI_OPACID_FA_' || lpad(cast(l_partkey as varchar), 9, '0') || '_X' when 1 then 'fa_SLUG.' || l_partkey else 'OLD_BOOK_' || l_partkey end"
+    return sql(f"select l_orderkey, {name}, case when l_orderkey % 2 = 0 then 'fad' else 'mtf' end from lineitem")
+
+
+def in_catalog(order, book_id):
+    """Parts divisible by 3 are in the sheet by number, those with remainder 1 by directory."""
+    part = int("".join(c for c in book_id if c.isdigit()))
+    return order % 3 < 2 and part % 3 == order % 3
+
+
+def test_catalog_lookup_has_every_line_item(spark):
+    got = sorted((r.order, r.book_id, r.matched) for r in run(spark, "catalog_lookup").collect())
+    assert got == sorted((o, b, in_catalog(o, b)) for o, b, _ in wanted())
+
+
+def test_match_report_counts_every_line_item(spark):
+    r, books = run(spark, "match_report").first(), wanted()
+    missed = sorted((o, b) for o, b, _ in books if not in_catalog(o, b))
+    assert (r.books, r.missed, r.matched) == (len(books), len(missed), len(books) - len(missed))
+    assert r.miss_sample == ",".join(b for _, b in missed[:20])
+
+
+def test_validate_catalog_counts_every_line_item(spark):
+    got, books = {r.source: (r.books, r.matched) for r in run(spark, "validate_catalog").collect()}, wanted()
+    of = lambda rows: (len(rows), sum(in_catalog(o, b) for o, b, _ in rows))
+    assert got == {"TOTAL": of(books)} | {s: of([x for x in books if x[2] == s]) for s in ("fad", "mtf")}
