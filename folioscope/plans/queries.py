@@ -354,7 +354,7 @@ def active_workers(spark, sf_dir):
 @query("""select o_orderpriority as source, cast(o_orderkey as varchar) as book_id, o_orderstatus as status, o_totalprice as pdf_mb from orders order by source, book_id limit 200""")
 def csv_projection(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("string").alias("book_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("pdf_mb"), F.lit(1).alias("extra"))
-    return sinks.csv_rows(rows).select("source", "book_id", "status", "pdf_mb").limit(200)
+    return sinks.csv_rows(rows).select("source", "book_id", "status", "pdf_mb")
 
 
 @query("""select o_orderkey, o_orderpriority from orders order by o_orderpriority, o_orderkey limit 25""")

@@ -65,3 +65,8 @@ def test_validate_catalog_counts_every_line_item(spark):
     got, books = {r.source: (r.books, r.matched) for r in run(spark, "validate_catalog").collect()}, wanted()
     of = lambda rows: (len(rows), sum(in_catalog(o, b) for o, b, _ in rows))
     assert got == {"TOTAL": of(books)} | {s: of([x for x in books if x[2] == s]) for s in ("fad", "mtf")}
+
+
+def test_csv_projection_has_every_order_sorted(spark):
+    got = [tuple(r) for r in run(spark, "csv_projection").collect()]
+    assert got == sql("select o_orderpriority, cast(o_orderkey as varchar) as id, o_orderstatus, o_totalprice from orders order by o_orderpriority, id")
