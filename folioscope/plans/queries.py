@@ -370,7 +370,7 @@ def isbn_enrichment(spark, sf_dir):
     weighed = F.aggregate(F.transform(F.regexp_extract_all(nine, F.lit("(.)"), F.lit(1)), lambda x, i: x.cast("int") * (10 - i)), F.lit(0), lambda a, x: a + x)
     check = (11 - weighed % 11) % 11
     isbn = F.concat(nine, F.when(check == 10, "X").otherwise(check.cast("string")))
-    books = table(spark, sf_dir, "orders").filter("o_orderkey % 10 <> 9").select("o_orderkey", isbn.alias("isbn"))
+    books = table(spark, sf_dir, "orders").select("o_orderkey", isbn.alias("isbn"))
     title = lambda t: F.struct(F.lit(t).alias("title"), *[F.lit(None).cast(kind).alias(n) for n, kind in (("subtitle", "string"), ("authors", "array<string>"), ("year", "int"), ("publisher", "string"), ("place", "string"), ("edition", "string"), ("language", "string"), ("_source", "string"))])
     one = books.filter("o_orderkey % 2 = 0").select("isbn", title("s2 wins").alias("found"))
     two = books.filter("o_orderkey % 3 = 0").select("isbn", title("s3").alias("found"))

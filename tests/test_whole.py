@@ -70,3 +70,9 @@ def test_validate_catalog_counts_every_line_item(spark):
 def test_csv_projection_has_every_order_sorted(spark):
     got = [tuple(r) for r in run(spark, "csv_projection").collect()]
     assert got == sql("select o_orderpriority, cast(o_orderkey as varchar) as id, o_orderstatus, o_totalprice from orders order by o_orderpriority, id")
+
+
+def test_isbn_enrichment_has_every_order(spark):
+    got = {r.o_orderkey: (r.title, r.outcome) for r in run(spark, "isbn_enrichment").collect()}
+    want = lambda k: ("s2 wins", "hit") if k % 2 == 0 else ("s3", "hit") if k % 3 == 0 else (None, "transient" if k % 5 == 0 else "miss")
+    assert got == {k: want(k) for (k,) in sql("select o_orderkey from orders")}
