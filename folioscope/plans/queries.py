@@ -258,7 +258,7 @@ def plain_text(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     page = F.floor(F.col("turn") / 2).cast("int")
     dims = c.groupBy("conv_id").agg(F.max(page).alias("m")).select("conv_id", F.explode(F.sequence(F.lit(0), F.col("m") + 1)).alias("page"))
-    lines = c.filter("turn % 4 < 2").select("conv_id", page.alias("page"), F.col("turn").cast("int").alias("line_no"), "text")
+    lines = c.select("conv_id", page.alias("page"), F.col("turn").cast("int").alias("line_no"), "text")
     return structure.plain_text(lines, dims, ["conv_id"])
 
 

@@ -76,3 +76,12 @@ def test_isbn_enrichment_has_every_order(spark):
     got = {r.o_orderkey: (r.title, r.outcome) for r in run(spark, "isbn_enrichment").collect()}
     want = lambda k: ("s2 wins", "hit") if k % 2 == 0 else ("s3", "hit") if k % 3 == 0 else (None, "transient" if k % 5 == 0 else "miss")
     assert got == {k: want(k) for (k,) in sql("select o_orderkey from orders")}
+
+
+def test_plain_text_has_every_turn(spark):
+    pages = {}
+    for conv, turn, text in sorted(sql("select conv_id, turn, text from conversations"), key=lambda r: (r[0], r[1], r[2] or "")):
+        pages.setdefault(conv, {}).setdefault(turn // 2, []).append(text)
+    want = {k: "\f".join("\n".join(t for t in p.get(i, []) if t is not None) for i in range(max(p) + 2)) for k, p in pages.items()}
+    got = {r.conv_id: r for r in run(spark, "plain_text").collect()}
+    assert {k: r.text for k, r in got.items()} == want and all(r.ocr_chars == len(r.text) for r in got.values())
