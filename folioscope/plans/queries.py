@@ -298,8 +298,7 @@ def merge_headings(spark, sf_dir):
 
 @query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title from pages where regexp_matches(html, '(?s)<title[^>]*>.*?</title>') and regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) not like '%&%'""")
 def parse_markup(spark, sf_dir):
-    titles = table(spark, sf_dir, "pages").filter(F.col("html").rlike(r"(?s)<title[^>]*>[^&]*?</title>"))
-    return structure.markup_lines(titles).filter("tag = 'title'").select("page_id", F.col("text").alias("title"))
+    return structure.markup_lines(table(spark, sf_dir, "pages")).filter("tag = 'title'").select("page_id", F.col("text").alias("title"))
 
 
 @query()

@@ -1,5 +1,8 @@
 """Registered queries take every row of their tables: against sums that no filter is in."""
 
+import html
+import re
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -85,3 +88,22 @@ def test_plain_text_has_every_turn(spark):
     want = {k: "\f".join("\n".join(t for t in p.get(i, []) if t is not None) for i in range(max(p) + 2)) for k, p in pages.items()}
     got = {r.conv_id: r for r in run(spark, "plain_text").collect()}
     assert {k: r.text for k, r in got.items()} == want and all(r.ocr_chars == len(r.text) for r in got.values())
+
+
+def plain_titles(pages):
+    """(page_id, title) by a pattern and html.unescape."""
+    found = ((k, re.search(r"(?s)<title[^>]*>(.*?)</title>", m or "")) for k, m in pages)
+    return sorted((k, " ".join(html.unescape(m[1]).split())) for k, m in found if m)
+
+
+def test_parse_markup_decodes_entities(spark, tmp_path):
+    pages = [(1, "<html><title>Plain</title><p>x"), (2, "<title>Salt &amp; Pepper</title>"), (3, "<title lang='en'>a &lt; b\n &#233; &#x17E; &eacute;</title>"), (4, "<p>none</p>"), (5, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["parse_markup"](spark, str(tmp_path)).collect())
+    assert got == plain_titles(pages) and got[1][1] == "Salt & Pepper"
+
+
+def test_parse_markup_has_every_title(spark):
+    pages = sql(f"select page_id, html from '{SF}/../sf0.01/pages.parquet'")
+    got = sorted(tuple(r) for r in entry.queries()["parse_markup"](spark, SF.replace("0.001", "0.01")).collect())
+    assert any("&" in m.partition("</title>")[0] for _, m in pages) and got == plain_titles(pages)
