@@ -9,11 +9,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, fold, pieces
+from .common import as_text, fold, pieces, stored
 
 #: bytes.translate table: signs that are no letters or digits become spaces.
 PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -27,6 +27,8 @@ TONGUES = {
 #: Word prefixes (bytes) that get buckets of their own beside the whole word's.
 PREFIXES = (4, 5, 6)
 VIEWS = 1 + len(PREFIXES)
+#: Bins of a logit's unit, and the logit beyond which all share a bin: rows to the driver are bounded.
+BINS, FAR = 256, 32
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,8 @@ class Fit:
     batch: int = 48
     rate: float = 0.08
     seed: int = 3
-    #: Part of the sample that thresholds are set on; languages with fewer positives there share one.
+    #: Part of the sample that the net doesn't learn from. Languages with fewer positives (or others)
+    #: among all labelled rows that it didn't learn from share one threshold.
     holdback: int = 5
     least: int = 12
 
@@ -242,10 +245,12 @@ class Scorer:
             hits += self.told[ids[:step]].sum(0)
         return float(np.maximum(top, 0) @ self.net.out + self.net.base), list(TONGUES)[int(hits.argmax())] if hits.max() > 0 else ""
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        z, said = self.logits(texts)
-        cut = np.array([self.cuts.get(x, self.cuts[""]) for x in said])
-        return 1 / (1 + np.exp(-np.clip(self.scale * (z - cut), -40, 40)))
+    def scores(self, z: str, said: str) -> Column:
+        """Scores from the columns of logits; a language's cut stands at 0.5."""
+        cut = F.lit(self.cuts[""])
+        for name in self.cuts.keys() - {""}:
+            cut = F.when(F.col(said) == name, self.cuts[name]).otherwise(cut)
+        return 1 / (1 + F.exp(-F.greatest(F.least(self.scale * (F.col(z) - cut), F.lit(40.0)), F.lit(-40.0))))
 
 
 def threshold(z: np.ndarray, y: np.ndarray) -> float:
@@ -257,10 +262,47 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order[k]] + z[order[k + 1]]) / 2) if k + 1 < len(z) else float(z[order[k]] - 1)
 
 
+def binned_threshold(rows: list) -> float:
+    """threshold, from counts by label and bin."""
+    bins: dict[int, list] = {}
+    for r in rows:
+        b = bins.setdefault(r.bin, [0, 0, r.low, r.high])
+        b[:] = b[0] + r.n * (r.label == 1), b[1] + r.n, min(b[2], r.low), max(b[3], r.high)
+    b = [bins[k] for k in sorted(bins, reverse=True)]
+    hits, seen = np.cumsum([x[0] for x in b]), np.cumsum([x[1] for x in b])
+    k = int((2 * hits / (seen + max(1, hits[-1]))).argmax())
+    return float((b[k][2] + b[k + 1][3]) / 2) if k + 1 < len(b) else float(b[k][2] - 1)
+
+
+def labelled(labels: DataFrame, label_col: str, held: tuple[int, int], id_col: str) -> DataFrame:
+    """_id and _label outside the held-out fold, once for each id."""
+    return labels.filter(F.col(label_col).isNotNull() & (fold(id_col, held[0]) != held[1])).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+
+
+def calibrated(scorer: Scorer, raw: DataFrame, known: DataFrame, learnt: DataFrame, how: Fit) -> Scorer:
+    """The scorer with cuts and scale of all labelled rows that the net didn't learn from; as it is, if
+    those have one label only. raw: _id, _z, _said of every row; known: _id, _label; learnt: _id."""
+    bin_ = F.floor(F.greatest(F.least("_z", F.lit(float(FAR))), F.lit(float(-FAR))) * BINS)
+    rows = raw.join(known.join(F.broadcast(learnt), "_id", "left_anti"), "_id")
+    rows = rows.groupBy("_said", F.when(F.col("_label") == 1, 1).otherwise(0).alias("label"), bin_.alias("bin"))
+    # Whole millionths add up to the same sum in any order.
+    rows = rows.agg(F.count("*").alias("n"), F.min("_z").alias("low"), F.max("_z").alias("high"), F.sum(F.round(F.col("_z") * 1e6).cast("long")).alias("micros")).collect()
+    n = lambda rs, label: sum(r.n for r in rs if r.label == label)
+    if not n(rows, 1) or not n(rows, 0):
+        return scorer
+    cuts = {"": binned_threshold(rows)}
+    for name in TONGUES:
+        at = [r for r in rows if r._said == name]
+        if min(n(at, 1), n(at, 0)) >= how.least:
+            cuts[name] = binned_threshold(at)
+    mean = [sum(r.micros for r in rows if r.label == k) / n(rows, k) / 1e6 for k in (0, 1)]
+    return Scorer(scorer.net, cuts, float(6 / max(mean[1] - mean[0], 1e-3)))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, held: tuple[int, int], id_col: str, text_col: str, how: Fit) -> list:
     """The labelled rows (id, text, label) to learn from. The ids chosen, whose number is bounded, are
     broadcast to the documents, so texts don't move to meet labels."""
-    known = labels.filter(F.col(label_col).isNotNull() & (fold(id_col, held[0]) != held[1])).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    known = labelled(labels, label_col, held, id_col)
     counts = {r._label: r.n for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     u = F.shiftrightunsigned(F.xxhash64(F.lit(how.seed), F.col("_id")), 11) / float(1 << 53)
     rate = F.when(F.col("_label") == 1, how.positives / max(1, counts.get(1, 0))).otherwise(how.negatives / max(1, counts.get(0, 0)))
@@ -270,14 +312,15 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, held: tuple[int,
     return rows.filter(F.col("_u") < how.chars / max(1, total)).select("id", "text", "label").collect()
 
 
-def train(rows: list, how: Fit = Fit()) -> Scorer:  # noqa: B008
-    """A scorer from rows (id, text, label). The order of rows doesn't matter. With rows of one label
-    only, or none, every text gets the same score of under 0.5 (over, if all are 1)."""
+def train(rows: list, how: Fit = Fit()) -> tuple[Scorer, list]:  # noqa: B008
+    """A scorer from rows (id, text, label), its cuts those of the part held back, and the ids that its
+    net learnt from. The order of rows doesn't matter. With rows of one label only, or none, no id is
+    learnt from and every text gets the same score of under 0.5 (over, if all are 1)."""
     rows = sorted(rows, key=lambda r: (str(r[0]), r[1]))
     net = Net(how)
     y = np.array([r[2] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
-        return Scorer(net, {"": -1e6 if len(y) and y[0] == 1 else 1e6}, 1.0)
+        return Scorer(net, {"": -1e6 if len(y) and y[0] == 1 else 1e6}, 1.0), []
     index: dict[bytes, int] = {}
     buckets = array("i")
     docs = []
@@ -305,25 +348,33 @@ def train(rows: list, how: Fit = Fit()) -> Scorer:  # noqa: B008
         if yc[at].sum() >= how.least and (1 - yc[at]).sum() >= how.least:
             cuts[name] = threshold(z[at], yc[at])
     gap = z[yc == 1].mean() - z[yc == 0].mean()
-    return Scorer(net, cuts, float(6 / max(gap, 1e-3)))
+    return Scorer(net, cuts, float(6 / max(gap, 1e-3))), [rows[i][0] for i in learn]
 
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text", how: Fit = Fit()) -> DataFrame:  # noqa: B008
     """id_col, held_out, score, predicted for every row of docs, whole texts.
 
-    The threshold of the language that a text's function words tell stands at score 0.5. Null texts
+    The threshold of the language that a text's function words tell stands at score 0.5; it is set on
+    all labelled rows outside the held-out fold that the net didn't learn from. Null texts
     are empty, and an empty text gets what the bias gives. A null id is not held out. Rows repeat as in
     docs; other columns are not read."""
     spark = docs.sparkSession
-    scorer = train(sample(docs, labels, label_col, held, id_col, text_col, how), how)
+    scorer, learnt = train(sample(docs, labels, label_col, held, id_col, text_col, how), how)
     shared = spark.sparkContext.broadcast((scorer.net, scorer.cuts, scorer.scale))  # 6 MB, fixed by Fit
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("_z", T.DoubleType()), T.StructField("_said", T.StringType())])
 
     def run(batches):
         s = Scorer(*shared.value)
         for batch in batches:
             for b in pieces(batch, text_col, 8 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(s.score(as_text(b, text_col)), pa.float64())], names=[id_col, "score"])
-
-    out = docs.select(id_col, text_col).mapInArrow(run, schema)
+                z, said = s.logits(as_text(b, text_col))
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(z, pa.float64()), pa.array(said, pa.string())], names=["_id", "_z", "_said"])
+
+    raw = docs.select(id_col, text_col).mapInArrow(run, schema)
+    if learnt:
+        raw = stored(raw)
+        ids = spark.createDataFrame([(x,) for x in set(learnt)], T.StructType([T.StructField("_id", kind)]))
+        scorer = calibrated(scorer, raw, labelled(labels, label_col, held, id_col), ids, how)
+    out = raw.select(F.col("_id").alias(id_col), scorer.scores("_z", "_said").alias("score"))
     return out.select(id_col, F.coalesce(fold(id_col, held[0]) == held[1], F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
