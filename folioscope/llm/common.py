@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: What separates words, as a Java or Python character class and as a pattern of words.
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+#: Where stored() put the frames that it returned.
+_PLACES: dict[int, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder;
+    executors on other machines could not see one, so there the setting must be given."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="folioscope-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -38,7 +45,24 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/folioscope/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _PLACES[id(out)] = (weakref.ref(out), at)
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the files of frames that stored() returned; for those that nothing reads any more."""
+    for df in frames:
+        ref, at = _PLACES.pop(id(df), (None, None))
+        if ref and ref() is df:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df as a side that is broadcast if it has `rows` rows at most; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def fold(col: str | Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,13 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a < b); root is the smallest node of its component.
-    Every round is written, so that the plan stays short; only a count and a sum reach the driver."""
+    Every round is written, so that the plan stays short, and the round before deleted; only a count and a
+    sum reach the driver. A hub's edges meet its least neighbour by a join that can be split."""
     edges = stored(edges)
     mark = _mark(edges)
     while mark[0]:
-        edges = stored(_small(_large(edges)))
+        old, edges = edges, stored(_small(_large(edges)))
+        released(old)
         if (now := _mark(edges)) == mark:
             break
         mark = now

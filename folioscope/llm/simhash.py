@@ -35,18 +35,19 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n).view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id_col, fp long) for every row. Null and blank texts have fingerprint 0. No shuffle."""
-    kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, beside..., fp long) for every row. Null and blank texts have fingerprint 0. No shuffle;
+    a worker holds a piece of a batch at a time, and hashes a long text in chunks."""
+    names = [id_col, *beside]
+    out = T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, text_col, 8 << 20):
                 fp = pa.array([fingerprint(x, shingle) for x in as_bytes(b, text_col)], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(id_col), fp], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), fp], names=[*names, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return docs.select(*names, text_col).mapInArrow(run, out)
 
 
 def blocks(free: list[int], m: int) -> list[list[int]]:
@@ -101,6 +102,12 @@ def links(values: DataFrame, k: int = 3, m: int = 6, hot: int = 256) -> DataFram
         frees, m = after, k + 3  # each level leaves about half of the bits free
 
 
+def rooted(nodes: DataFrame, k: int, hot: int) -> DataFrame:
+    """nodes (distinct fp and more) with root: the smallest fingerprint of the component."""
+    roots = components(links(nodes, k, hot=hot))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, k: int = 3, hot: int = 256) -> DataFrame:
     """One row for every row of docs: id_col, fp (long), component_id.
 
@@ -108,22 +115,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id that links reach, the document's own included (null only where every id of the
     component is null). Copies share a fingerprint and are one node, so their number adds no pairs.
     Null and blank texts have fingerprint 0 and are linked like any other. Repeated rows keep their
-    own output rows; other columns of docs are not read. An empty table gives an empty one."""
+    own output rows; rows with one id and different texts are documents of their own. Ties can't be: an
+    id stands for itself. Very long texts are read whole. Other columns of docs are not read. An empty
+    table gives an empty one."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle))
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(links(nodes, k, hot=hot))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each component: the row whose id is the component's. Of several rows with
-    that id the one with the smallest text stays (then by the other columns). A row without an id
-    can't be named by a component and stays as it is."""
-    seen = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, **how)
-    ids = seen.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    rest = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
-    first = docs.join(ids, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_row"))
-    kept = first.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns])
-    return kept.union(docs.filter(F.col(id_col).isNull()))
+    nodes = rooted(prints.groupBy("fp").agg(F.min(id_col).alias("least")), k, hot)
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, k: int = 3, hot: int = 256) -> DataFrame:
+    """docs with one row of each component, unchanged: the one with the smallest id (null after all
+    others), and of several with that id the one with the smallest hash of the whole row.
+
+    Components pick rows, not ids: a row is known by its id and a 128-bit hash of all its columns, so
+    rows that share an id but not a text are judged each by its own component, and of rows that are
+    equal in every column one stays. Texts move once, to meet the chosen keys; only texts of chosen rows
+    that are there several times are grouped."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    every = [F.col(c) for c in plain.columns]
+    id_, text = names[id_col], names[text_col]
+    # A hash passes over nulls, so where they are is hashed too; maps have no hash of their own.
+    parts = [F.to_json(F.struct(c)) if "map<" in plain.schema[c].dataType.simpleString() else F.col(c) for c in plain.columns]
+    parts = [*[F.col(c).isNull() for c in plain.columns], *parts]
+    keyed = plain.withColumns({"_k1": F.xxhash64(*parts), "_k2": F.xxhash64(F.lit(29), *parts[::-1])})
+    prints = stored(fingerprints(keyed, id_, text, shingle, ("_k1", "_k2")))
+    rows = stored(prints.groupBy("fp", id_, "_k1", "_k2").agg(F.count("*").alias("n")))
+    key = F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col("_k1").alias("a"), F.col("_k2").alias("b"), F.col("n"))
+    nodes = rooted(rows.groupBy("fp").agg(F.min(key).alias("key")), k, hot)
+    chosen = stored(nodes.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.a").alias("_k1"), F.col("key.b").alias("_k2"), "key.n"))
+    one = keyed.join(chosen.filter("n = 1").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").select(*every)
+    many = chosen.filter("n > 1").select("_k1", "_k2")
+    if not many.isEmpty():
+        first = keyed.join(many, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first(F.struct(*every)).alias("row"))
+        one = one.union(first.select(*[F.col(f"row.{c}") for c in plain.columns]))
+    return one.toDF(*docs.columns)
