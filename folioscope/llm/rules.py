@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base figures and rule statistics are columns over the whole text. Cutoffs of the rules come from
-labelled holdouts: for each stratum and rule, the strictest cutoff on a fixed grid for which an exact
-binomial test shows that at most a given share of good documents lies beyond it."""
+labelled holdouts: the strictest level of a fixed ladder, for each stratum, up to which exact binomial
+tests show that all rules together reject at most a given share of the good documents."""
 
 from __future__ import annotations
 
@@ -13,26 +13,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, bounded, stored
 
 #: Bits of a window's packed number that hold its position; longer texts compare all windows as words.
 POSITION = 24
-#: rule -> its loosest cutoff; each next cutoff is stricter by the factor of Risk.
-RULES = {"symbols": 0.5, "dup_lines": 0.9, "repeats": 0.9, "long_words": 40.0, "pipes": 0.5}
+#: rule -> its loosest and its strictest cutoff.
+RULES = {"symbols": (0.5, 0.02), "dup_lines": (0.9, 0.2), "repeats": (0.9, 0.2), "long_words": (40.0, 7.0), "pipes": (0.5, 0.02)}
 
 
 @dataclass(frozen=True)
 class Risk:
-    """alpha: share of good documents of a stratum that all rules together may reject (each rule gets
-    an equal part); delta: chance that any test errs, Bonferroni over strata, rules and cutoffs;
-    steps, factor: the grid. joined_rows: strata that are broadcast at most."""
+    """alpha: share of the good documents of a stratum, of those that pass the base rules, that all
+    cutoffs together may reject; delta: chance that this fails in any stratum. steps: strictness levels;
+    at each, every rule's cutoff goes by the same ratio from its loosest to its strictest. joined_rows,
+    labelled_rows: strata, and ids of good documents, that are broadcast at most."""
 
     alpha: float = 0.02
     delta: float = 0.05
     steps: int = 20
-    factor: float = 0.8
     stratum: str = "lang"
     joined_rows: int = 10_000
+    labelled_rows: int = 1_000_000
+
+    def ladder(self, rule: str) -> list[float]:
+        loose, strict = RULES[rule]
+        return [round(loose * (strict / loose) ** (j / (self.steps - 1)), 9) for j in range(self.steps)]
+
+    def least(self, strata: int) -> float:
+        """Good documents that a stratum needs, if none is rejected, to pass as one of `strata` tests."""
+        return math.log(max(1, strata) / self.delta) / -math.log1p(-self.alpha)
 
 
 def figures(docs: DataFrame, id_col: str, text_col: str, stratum: str | None) -> DataFrame:
@@ -76,45 +85,65 @@ def lgamma(x: Column) -> Column:
     return series - reduce(lambda a, b: a + b, [F.log(x + i) for i in range(8)])
 
 
+#: Terms of a tail that are summed one by one.
+TERMS = 20_000
+
+
 def log_tail(k: Column, n: Column, p: float) -> Column:
-    """Log of the exact P(Binomial(n, p) <= k), for k <= n p; the terms below k fall off from there."""
+    """Log of P(Binomial(n, p) <= k), for k <= n p: exact, the terms below k fall off from there. Past
+    TERMS of them, whose ratio keeps falling, a geometric sum stands for the rest, which is never less."""
     top = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
     start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda a, i: F.struct((a["term"] * (k - i) / (n - k + i + 1) * ((1 - p) / p)).alias("term"), (a["total"] + a["term"]).alias("total"))
-    return top + F.log(F.aggregate(F.sequence(F.lit(0), F.least(k, F.lit(50_000)).cast("int")), start, step, lambda a: a["total"]))
-
-
-def cutoffs(good: DataFrame, how: Risk) -> DataFrame:
-    """(_stratum, one column for each rule): the certified cutoff, null where none is. good: figures of
-    labelled good documents. Only counts by stratum, rule and level are kept."""
-    grid = lambda rule: F.array(*[F.lit(RULES[rule] * how.factor**j) for j in range(how.steps)])
-    level = lambda rule: F.size(F.filter(grid(rule), lambda c: F.col(rule) > c))
-    levels = good.select("_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])).alias("x"))
-    counts = levels.groupBy("_stratum", "x.rule").pivot("x.level", list(range(how.steps + 1))).count()
-    from_ = lambda least: reduce(lambda a, b: a + b, [F.coalesce(F.col(str(i)), F.lit(0)) for i in range(least, how.steps + 1)])
-    # The strictest `level` cutoffs are those that a document is beyond: cutoff j if level >= steps - j.
-    tests = counts.select("_stratum", "rule", from_(0).alias("n"), F.posexplode(F.array(*[from_(how.steps - j) for j in range(how.steps)])).alias("j", "k"))
-    strata = good.select("_stratum").distinct().count()
-    part = how.alpha / len(RULES)
-    bar = math.log(how.delta / max(1, strata * len(RULES) * how.steps))
-    passed = tests.filter(F.when(F.col("k") <= F.col("n") * part, log_tail(F.col("k").cast("double"), F.col("n").cast("double"), part) <= bar).otherwise(F.lit(False)))
-    # Cutoffs get stricter with j, so those that pass are a first part of the grid.
-    best = passed.groupBy("_stratum", "rule").agg(F.max("j").alias("j"))
-    value = F.element_at(F.create_map(*[x for r in RULES for x in (F.lit(r), F.lit(RULES[r]))]), F.col("rule")) * F.pow(F.lit(how.factor), F.col("j"))
-    return best.groupBy("_stratum").pivot("rule", list(RULES)).agg(F.first(value)).select("_stratum", *[F.col(r).alias(f"_cut_{r}") for r in RULES])
+    ratio = lambda i: (k - i) / (n - k + i + 1) * ((1 - p) / p)
+    step = lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["total"] + a["term"]).alias("total"))
+    last = F.least(k, F.lit(float(TERMS)))
+    return top + F.log(F.aggregate(F.sequence(F.lit(0), last.cast("int")), start, step, lambda a: a["total"] + a["term"] / (1 - F.greatest(ratio(last + 1), F.lit(0.0)))))
+
+
+def reached(how: Risk) -> Column:
+    """The first level at which any rule rejects the document; `steps` if none does."""
+    level = lambda r: F.size(F.filter(F.array(*[F.lit(x) for x in how.ladder(r)]), lambda c: F.col(r) <= c))
+    return F.least(*[level(r) for r in RULES])
+
+
+def certified(good: DataFrame, how: Risk) -> tuple[DataFrame, int | None]:
+    """(_stratum, level) for each stratum with enough good documents for a test of its own, and the level
+    of the pooled stratum of all, for the others; no level (null, None) where none is certified.
+
+    good: _stratum and _step (see reached) of labelled good documents that pass the base rules. Levels
+    are tested from the loosest on, each for all rules together, up to the first that fails; so the
+    chance of an error isn't divided by levels or rules, only by the strata that could pass at all."""
+    at = lambda: [F.count("*").alias("n"), *[F.count_if(F.col("_step") <= j).alias(f"k{j}") for j in range(how.steps)]]
+    alone = good.groupBy("_stratum").agg(*at()).withColumn("pooled", F.lit(False))
+    pooled = good.agg(*at()).select(F.lit("").alias("_stratum"), "n", *[f"k{j}" for j in range(how.steps)], F.lit(True).alias("pooled"))
+    counts = stored(alone.union(pooled))
+    tests = counts.filter(F.col("n") >= how.least(1)).count()
+    rows = counts.filter(F.col("n") >= how.least(tests)).select("_stratum", "pooled", F.col("n").cast("double").alias("n"), F.posexplode(F.array(*[F.col(f"k{j}").cast("double") for j in range(how.steps)])).alias("j", "k"))
+    good_enough = F.when(F.col("k") <= F.col("n") * how.alpha, log_tail(F.col("k"), F.col("n"), how.alpha) <= math.log(how.delta / max(1, tests))).otherwise(F.lit(False))
+    levels = rows.groupBy("_stratum", "pooled").agg((F.coalesce(F.min(F.when(~good_enough, F.col("j"))), F.lit(how.steps)) - 1).alias("level"))
+    levels = stored(levels.withColumn("level", F.when(F.col("level") >= 0, F.col("level"))))
+    fallback = levels.filter("pooled").first()
+    return levels.filter("not pooled").select("_stratum", "level"), fallback and fallback.level
 
 
 def judged(docs: DataFrame, labels: DataFrame, how: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:  # noqa: B008
     """One row for every row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept.
-
-    A null or empty text has no words and fails the base rule. A stratum with too few labelled
-    documents for any cutoff to be certified, a null stratum's included (it is one of its own), is
-    judged by the base rules alone. Rows repeat as in docs; a null id has no label."""
-    stats = stored(figures(docs, id_col, text_col, how.stratum if how.stratum in docs.columns else None))
-    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id"))
-    cuts = stored(cutoffs(stats.join(good, "_id"), how))
-    few = cuts.limit(how.joined_rows + 1).count() <= how.joined_rows
-    out = stats.join(F.broadcast(cuts) if few else cuts, "_stratum", "left")
-    beyond = reduce(lambda a, b: a | b, [F.coalesce(F.col(r) > F.col(f"_cut_{r}"), F.lit(False)) for r in RULES])
-    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))
+    n_repeat_words, base_failed, kept, level (the strictness that holds for its stratum; null: none).
+
+    kept: the base rules pass, and no rule's cutoff at that level is exceeded. Of the good documents of
+    a stratum that pass the base rules at most alpha are rejected, with the certainty of Risk. A stratum
+    with too few labelled good documents for a test of its own goes by the level of all strata pooled,
+    whose guarantee is for all documents together; a null stratum is one of its own. With too few
+    labels in all, the base rules decide alone.
+
+    A null or empty text has no words and fails the base rule. Texts are read whole, whatever their
+    length. A statistic that equals its cutoff passes. Rows repeat as in docs, also in the counts; ids
+    that repeat in labels count once, as good if any of their rows says so. A null id has no label.
+    Without rows there is no output."""
+    stats = stored(figures(docs, id_col, text_col, how.stratum if how.stratum in docs.columns else None).withColumn("_step", reached(how)).drop(*RULES))
+    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
+    alone, pooled = certified(stats.filter("not base_failed").join(bounded(good, how.labelled_rows), "_id", "left_semi").select("_stratum", "_step"), how)
+    alone = bounded(alone.withColumn("_own", F.lit(True)), how.joined_rows)
+    out = stats.join(alone, "_stratum", "left").withColumn("level", F.when(F.col("_own"), F.col("level")).otherwise(F.lit(pooled).cast("int")))
+    beyond = F.coalesce(F.col("_step") <= F.col("level"), F.lit(False))
+    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"), "level")
