@@ -6,7 +6,6 @@ they stream by, so that the longest conversation needs the memory of one batch o
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import pieces
+
+#: Bytes of text, and formatted rows, that a worker turns into Python objects at once.
+PIECE, ROWS = 4 << 20, 64
 SEGMENTS = "array<struct<text:string,loss:boolean>>"
 
 
@@ -41,8 +44,12 @@ class Template:
             text = text.replace(sign, self.escape + sign)
         return text
 
-    def plain(self, text: str) -> str:
-        return re.sub(f"{re.escape(self.escape)}(.)", r"\1", text, flags=re.S)
+    def plain(self, text: str, also: str = "") -> str:
+        """What escaped() was given. An escape sign stands before each sign, so in a run of escape signs
+        before one the last is the sign's; the rest are pairs."""
+        for sign in (self.tail.lstrip()[0], self.head[0], *also):
+            text = text.replace(self.escape + sign, sign)
+        return text.replace(self.escape * 2, self.escape)
 
     def segments(self, role: str, text: str) -> list[dict]:
         marks = self.head + self.escaped(role, self.colon[0]) + self.colon
@@ -52,16 +59,31 @@ class Template:
         after = self.moves.get(state, {}).get(role)
         return (after, True) if after else (role if role in self.moves else state, False)
 
+    def _end(self, formatted: str, mark: str, at: int) -> int:
+        """Where the first `mark` from `at` begins whose guarded sign is not escaped; -1 if none does."""
+        to = formatted.find(mark, at)
+        while to >= 0:
+            n = to
+            while n > at and formatted[n - 1] == self.escape:
+                n -= 1
+            # Behind white space that is the mark's own, its sign can't be an escaped one.
+            if mark[0].isspace() or (to - n) % 2 == 0:
+                return to
+            to = formatted.find(mark, to + 1)
+        return -1
+
     def parsed(self, formatted: str) -> list[tuple[str, str]]:
-        """The (role, text) of each turn of a formatted text; ValueError if anything is left over."""
-        e, stop, mark = (re.escape(x) for x in (self.escape, self.tail.lstrip()[0], self.colon[0]))
-        turn = re.compile(f"{re.escape(self.head)}((?:[^{e}{mark}]|{e}.)*){re.escape(self.colon)}((?:[^{e}{stop}]|{e}.)*){re.escape(self.tail)}", re.S)
+        """The (role, text) of each turn of a formatted text; ValueError if anything is left over. Marks
+        are found by searching for them, so a turn costs a few copies of its text and no more."""
         out, at = [], 0
         while at < len(formatted):
-            if not (m := turn.match(formatted, at)):
+            begin = at + len(self.head)
+            mid = self._end(formatted, self.colon, begin) if formatted.startswith(self.head, at) else -1
+            end = self._end(formatted, self.tail, mid + len(self.colon)) if mid >= 0 else -1
+            if end < 0:
                 raise ValueError(f"no turn at {at}")
-            out.append((self.plain(m[1]), self.plain(m[2])))
-            at = m.end()
+            out.append((self.plain(formatted[begin:mid], self.colon[0]), self.plain(formatted[mid + len(self.colon) : end])))
+            at = end + len(self.tail)
         return out
 
 
@@ -70,7 +92,9 @@ def format_chats(rows: DataFrame, template: Template | None = None, conv: str =
     could take the turn), state after it, and segments of text with loss flags.
 
     A null role or text is empty. Conversations of any order are formatted; ok says where order breaks.
-    Rows with a null conv_id are one conversation. Other columns are not read; no rows, no output."""
+    Rows with a null conv_id are one conversation; rows with equal turns go by role, then text, and
+    equal rows are turns of their own. A long text costs a few copies of itself. Other columns are not
+    read; no rows, no output."""
     t, kind = template or Template(), rows.schema[conv].dataType
     picked = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("conv_id", kind), T.StructField("position", T.LongType()), T.StructField("ok", T.BooleanType()), T.StructField("state", T.StringType())])
@@ -79,7 +103,7 @@ def format_chats(rows: DataFrame, template: Template | None = None, conv: str =
 
     def run(batches):
         current, state, n = object(), "start", 0
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch, "text", PIECE)):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for c, r, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if c != current:
@@ -128,7 +152,7 @@ def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         now, like = None, None
-        for b in batches:
+        for b in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
             done, like = [], b.schema.field(0).type
             for c, ok, state, segments in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if now is None or c != now.conv:
