@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text
+from .common import as_text, pieces
 
 # The strong kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,6 +27,8 @@ OWNER = re.compile(r"(?:client_id|user_?name|account_id|user|login)[\"']?\x20*[:
 KINDS = ("assign", "access", "hex", "secret", "endpoint", "owner")
 #: weak kind -> the kinds that complete it, one of which must co-occur.
 COMPLETE = {"secret": ("access", "owner"), "endpoint": ("access", "assign"), "owner": ("assign",)}
+#: Bytes of text that a worker turns into Python objects at once.
+PIECE = 8 << 20
 BREAK = re.compile(r"\n[\x20\t]*\n")
 
 
@@ -55,17 +57,22 @@ def weak(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "owner") for m in OWNER.finditer(text)]
 
 
-def near(spans: list[tuple[int, int, str]], against: list[tuple[int, int, str]], reach: int) -> list[tuple[int, int, str]]:
-    """Interval join: the spans that have one of `against` within reach. Both are sorted by start; the
-    largest end so far tells whether any interval that starts early enough also ends late enough."""
-    starts, ends = [a[0] for a in against], list(accumulate((a[1] for a in against), max))
-    return [s for s in spans if (i := bisect_right(starts, s[1] + reach)) and ends[i - 1] + reach >= s[0]]
+Span = tuple[int, int, str]
 
 
-def scan(text: str, how: Linking = Linking()) -> list[tuple[int, int, str]]:  # noqa: B008
-    """All spans (start, end, kind) in code points, by start, then kind. Weak parts that lie within a
-    strong span of theirs, or have nothing to complete them in their scope and reach, are left out."""
-    found = strong(text)
+def near(spans: list[Span], against: list[Span], reach: int) -> list[tuple[Span, Span]]:
+    """Interval join: the spans that have one of `against` within reach, each with the one that goes
+    furthest of those that start early enough (the first of equals). `against` is sorted by start."""
+    starts = [a[0] for a in against]
+    best = list(accumulate(against, lambda x, y: y if y[1] > x[1] else x))
+    return [(s, best[i - 1]) for s in spans if (i := bisect_right(starts, s[1] + reach)) and best[i - 1][1] + reach >= s[0]]
+
+
+def linked(text: str, how: Linking = Linking()) -> tuple[list[Span], list[tuple[Span, Span]]]:  # noqa: B008
+    """All spans (start, end, kind) in code points, by start, then kind; and links: each weak span with
+    the part that completes it. Weak parts that lie within a strong span of theirs, or have nothing to
+    complete them in their scope and reach, are left out."""
+    found, links = strong(text), []
     if any(k != "hex" for *_, k in found) or "://" in text:
         parts = sorted(weak(text) + found)
         edges = [m.end() for m in BREAK.finditer(text)]
@@ -80,30 +87,45 @@ def scan(text: str, how: Linking = Linking()) -> list[tuple[int, int, str]]:  #
                 if kind in parts_of:
                     against = sorted(x for n in needs for x in parts_of.get(n, []))
                     if kind == "secret":  # an owner counts only beside an endpoint, which has the third part
-                        against = sorted([*parts_of.get("access", []), *near(parts_of.get("owner", []), parts_of.get("endpoint", []), how.reach)])
-                    found += [p for p in near(parts_of[kind], against, how.reach) if not inside(p)]
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+                        against = sorted([*parts_of.get("access", []), *(o for o, _ in near(parts_of.get("owner", []), parts_of.get("endpoint", []), how.reach))])
+                    links += [x for x in near(parts_of[kind], against, how.reach) if not inside(x[0])]
+    by = lambda s: (s[0], KINDS.index(s[2]), s[1])
+    return sorted([*found, *(x for x, _ in links)], key=by), sorted(links, key=lambda x: by(x[0]))
+
+
+def scan(text: str, how: Linking = Linking()) -> list[Span]:  # noqa: B008
+    return linked(text, how)[0]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Linking = Linking()) -> DataFrame:  # noqa: B008
-    """id_col and spans array<struct<start, end, kind>> of every row, in code points. The parts of a
-    credential lie in one text, so the interval join runs where the text is, without a shuffle. Null
-    and empty texts have no spans; rows repeat as in docs; other columns are not read."""
+    """id_col, spans array<struct<start, end, kind>> of every row, in code points, and links
+    array<struct<part, completes>>: each weak span and the one that it is reported for.
+
+    The parts of a credential lie in one text, so the interval join runs where the text is, without a
+    shuffle. Null and empty texts have no spans; a long text is read whole, by itself; of parts that go
+    equally far the first is linked; rows repeat as in docs, and an empty table gives an empty one;
+    other columns are not read."""
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(span))])
-    inner = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    link = T.StructType([T.StructField("part", span), T.StructField("completes", span)])
+    schema = T.StructType([docs.schema[id_col], T.StructField("spans", T.ArrayType(span)), T.StructField("links", T.ArrayType(link))])
+    inner = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+    pair = pa.struct([("part", inner), ("completes", inner)])
+    row = lambda x: {"start": x[0], "end": x[1], "kind": x[2]}
 
     def run(batches):
-        for b in batches:
-            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(x, how)] for x in as_text(b, text_col)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(spans, inner)], names=[id_col, "spans"])
+        for b in (x for batch in batches for x in pieces(batch, text_col, PIECE)):
+            found = [linked(x, how) for x in as_text(b, text_col)]
+            spans = pa.array([[row(x) for x in s] for s, _ in found], pa.list_(inner))
+            links = pa.array([[{"part": row(x), "completes": row(y)} for x, y in ls] for _, ls in found], pa.list_(pair))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), spans, links], names=[id_col, "spans", "links"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text", how: Linking = Linking(), mark: str = "[{}]") -> DataFrame:  # noqa: B008
     """docs with every span of its text replaced by its kind in brackets; overlapping spans become one,
-    named for the first. Texts without spans, null and empty ones included, stay as they are."""
+    named for the first. Texts without spans, null and empty ones included, stay as they are; long ones
+    are read whole; rows repeat as in docs, and an empty table gives an empty one."""
 
     def cut(text: str) -> str:
         out, at = [], 0
@@ -115,7 +137,7 @@ def redact(docs: DataFrame, text_col: str = "text", how: Linking = Linking(), ma
         return "".join([*out, text[at:]])
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch, text_col, PIECE)):
             i = b.schema.get_field_index(text_col)
             new = pa.array([None if x is None else cut(x) for x in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), new)
@@ -123,7 +145,16 @@ def redact(docs: DataFrame, text_col: str = "text", how: Linking = Linking(), ma
     return docs.mapInArrow(run, docs.schema)
 
 
+def _named(s):
+    return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+
 def joined(kinds: tuple[str, ...] | None = None):
     """kind:start:end of the spans, comma-joined."""
     spans = F.col("spans") if kinds is None else F.filter("spans", lambda s: s["kind"].isin(*kinds))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, _named), ",")
+
+
+def joined_links():
+    """part>completes of the links, comma-joined."""
+    return F.array_join(F.transform("links", lambda x: F.concat_ws(">", _named(x["part"]), _named(x["completes"]))), ",")
