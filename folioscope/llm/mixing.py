@@ -37,19 +37,32 @@ def word_count(text: str) -> Column:
 def measured(docs: DataFrame, how: Mix, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """docs and, under names of our own: the source as a key that is never null, size, tier, and a
     uniform number in (0, 1) that depends on seed, id and text alone."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(how.seed), F.col(id_col), F.col(text_col)), 11).cast("double") + 0.5) / float(1 << 53)
+    sign = F.md5(F.concat(F.lit(f"{how.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    u = (F.conv(F.substring(sign, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     size = word_count(text_col)
     return docs.withColumns({"_key": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "_size": size, "_u": u}).withColumn("_tier", F.when(F.col("_size") < how.floor, how.short).otherwise(how.long))
 
 
+def numbered(keys: DataFrame, by: list) -> DataFrame:
+    """keys with _at: the place of each in order, from 0. Ranges of the order are numbered each by itself,
+    and start where the counts of the ranges before end; only those counts reach the driver."""
+    ranges = stored(keys.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in ranges.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        before[r["_range"]], total = total, total + r.n
+    starts = keys.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_range int, _start long")
+    inner = F.row_number().over(W.partitionBy("_range").orderBy(*by)) - 1
+    return ranges.withColumn("_inner", inner).join(F.broadcast(starts), "_range").withColumn("_at", F.col("_start") + F.col("_inner")).drop("_range", "_start", "_inner")
+
+
 def targets(strata: DataFrame, how: Mix) -> DataFrame:
     """(_key, _source_size, _target): weight times a common level, but cap times the size at most.
     Raising the level by what the capped sources can't take, until none is above, ends at the level
     where the targets add up to the share. Only sums of the source table reach the driver."""
     sources = strata.groupBy("_key").agg(F.sum("_words").alias("_source_size"))
-    order = W.orderBy(F.col("_key") == "", "_key")
     cycle = F.array(*[F.lit(x) for x in how.cycle])
-    sources = stored(sources.withColumn("_w", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(how.cycle) + 1).cast("int"))))
+    sources = numbered(sources, [F.col("_key") == "", F.col("_key")])
+    sources = stored(sources.select("_key", "_source_size", F.element_at(cycle, (F.col("_at") % len(how.cycle) + 1).cast("int")).alias("_w")))
     most = F.col("_source_size") * how.cap
     total, weight = sources.agg(F.sum("_source_size"), F.sum("_w")).first()
     budget = how.share * (total or 0)
@@ -134,7 +147,8 @@ def mix_sizes(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_co
     """One row for every row of docs: id_col, size, source_size, target, taken (words, with repeats).
 
     A null or blank text has size 0 and is never taken. A null source is a source. Equal rows share
-    their fate, and the same input gives the same draw. An empty table gives an empty one."""
+    their fate, ranks that tie are taken or left together, and the same input gives the same draw. Long
+    texts are counted whole. An empty table gives an empty one; other columns are not read."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     rows = stored(measured(plain, how, "id", "text", "source").select("id", "_key", "_size", "_tier", "_u"))
     out = drawn(rows, planned(rows, how), how)
@@ -143,7 +157,7 @@ def mix_sizes(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_co
 
 def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:  # noqa: B008
     """The documents that the mix takes, with all their columns, `copies`, and the words `taken`;
-    columns of docs with these two names are replaced."""
+    columns of docs with these two names are replaced. Nulls, ties, repeated rows: as in mix_sizes()."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = measured(docs.toDF(*names.values()), how, names[id_col], names[text_col], names[source_col])
     small = stored(rows.select("_key", "_size", "_tier", "_u"))
