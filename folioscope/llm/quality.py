@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, as_bytes, fold, pieces, stored
+from .common import LOWER, as_bytes, bounded, fold, pieces, released, stored
 
 _CODES = np.arange(256)
 _CLASSES = np.stack([
@@ -52,7 +52,9 @@ def statistics(text: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Fit:
-    """width: random features; ridge: its penalty for each row; bins: of the score, for calibration."""
+    """width: random features; ridge: its penalty for each row; bins: of the score, for calibration. fan:
+    matrices that one task, or the driver at the end, adds up. labelled_rows: ids of labelled rows that
+    are broadcast at most."""
 
     width: int = 192
     ridge: float = 1e-4
@@ -60,6 +62,8 @@ class Fit:
     seed: int = 7
     bins: int = 2000
     clip: float = 6.0
+    fan: int = 32
+    labelled_rows: int = 1_000_000
 
 
 @dataclass
@@ -122,8 +126,8 @@ def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
 def fit(rows: DataFrame, how: Fit = Fit()) -> Model:  # noqa: B008
     """A model from all rows (stats, label 0/1, part 0/1), whose number is not limited.
 
-    Each partition sums its normal equations, groups of partitions sum theirs, and the driver adds 16
-    matrices of width² for each part. The two parts score each other for the isotonic fit, which sees
+    Each partition sums its normal equations, tasks add up `fan` of those at a time, level by level, and
+    the driver the last `fan` matrices of width² for each part. The two parts score each other for the isotonic fit, which sees
     sums by bin of the score; the final weights come from both. Without rows, or with one label only,
     every score is the same."""
     n = STATS
@@ -134,28 +138,38 @@ def fit(rows: DataFrame, how: Fit = Fit()) -> Model:  # noqa: B008
     d = how.width + 1
     model = Model(mean, scale, rng.standard_normal((n, how.width)) / (how.bandwidth * np.sqrt(n)), rng.uniform(0, 2 * np.pi, how.width), np.zeros(d), (np.array([0.0, 1.0]), np.array([0.0, 1.0])), how.clip)
 
+    kind = pa.schema([("part", pa.int32()), ("grp", pa.int32()), ("sums", pa.binary())])
+
     def sums(batches):
         from pyspark import TaskContext
 
-        total = {p: np.zeros((d, d + 1)) for p in (0, 1)}
+        total, seen = {p: np.zeros((d, d + 1)) for p in (0, 1)}, False
         for b in batches:
             z, y, part = model.lift(matrix(b, "stats")), b.column("label").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
+            seen = seen or len(z) > 0
             for p in (0, 1):
                 at = part == p
                 total[p] += z[at].T @ np.hstack([z[at], y[at, None]])
-        group = TaskContext.get().partitionId() % 16
-        yield pa.RecordBatch.from_pydict({"part": [0, 1], "grp": [group] * 2, "sums": [total[p].tobytes() for p in (0, 1)]}, schema=pa.schema([("part", pa.int32()), ("grp", pa.int32()), ("sums", pa.binary())]))
+        if seen:
+            yield pa.RecordBatch.from_pydict({"part": [0, 1], "grp": [TaskContext.get().partitionId()] * 2, "sums": [total[p].tobytes() for p in (0, 1)]}, schema=kind)
 
-    def added(key, t):
+    def added(t):
         total = np.zeros(d * (d + 1))
         for x in t.column("sums"):
             total += np.frombuffer(x.as_buffer(), np.float64)
-        return pa.table({"part": [key[0].as_py()], "sums": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("sums", pa.binary())]))
+        return pa.table({"part": [t.column("part")[0].as_py()], "grp": [t.column("grp")[0].as_py()], "sums": [total.tobytes()]}, schema=kind)
 
     both = {p: np.zeros((d, d + 1)) for p in (0, 1)}
     picked = rows.select("stats", F.col("label").cast("double").alias("label"), F.col("part").cast("int").alias("part"))
-    for r in picked.mapInArrow(sums, "part int, grp int, sums binary").groupBy("part", "grp").applyInArrow(added, "part int, sums binary").collect():
+    level = stored(picked.mapInArrow(sums, "part int, grp int, sums binary"))
+    groups = (level.agg(F.max("grp")).first()[0] or 0) + 1
+    while groups > how.fan:  # a task adds `fan` matrices at most
+        old, groups = level, -(-groups // how.fan)
+        level = stored(old.withColumn("grp", F.floor(F.col("grp") / how.fan).cast("int")).groupBy("part", "grp").applyInArrow(added, "part int, grp int, sums binary"))
+        released(old)
+    for r in level.collect():
         both[r.part] += np.frombuffer(bytes(r.sums)).reshape(d, d + 1)
+    released(level)
 
     def solve(a: np.ndarray) -> np.ndarray:
         return np.linalg.solve(a[:, :d] + (how.ridge * a[-1, d - 1] + 1e-9) * np.eye(d), a[:, d])
@@ -175,18 +189,28 @@ def fit(rows: DataFrame, how: Fit = Fit()) -> Model:  # noqa: B008
     return model
 
 
-def trained(stats: DataFrame, labels: DataFrame, label_col: str, held: tuple[int, int], id_col: str = "doc_id", how: Fit = Fit()) -> Model:  # noqa: B008
-    """Fit to the labelled rows whose crc32(id) mod held[0] is not held[1]. Only statistics move to
-    meet the labels, never texts."""
+def known_rows(labels: DataFrame, label_col: str, held: tuple[int, int], id_col: str) -> DataFrame:
+    """_id, label and part (0 or 1) of the labelled rows whose crc32(id) mod held[0] is not held[1]."""
     k, r = held
-    known = labels.filter(F.col(label_col).isNotNull() & (fold(id_col, k) != r)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
-    part = F.when(fold("_id", k) == (r + 1) % k, 0).otherwise(1)
-    return fit(stored(stats.join(known, stats[id_col] == known["_id"]).select("stats", "label", part.alias("part"))), how)
+    known = labels.filter(F.col(label_col).isNotNull() & (fold(id_col, k) != r))
+    return known.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"), F.when(fold(id_col, k) == (r + 1) % k, 0).otherwise(1).alias("part"))
+
+
+def trained(stats: DataFrame, labels: DataFrame, label_col: str, held: tuple[int, int], id_col: str = "doc_id", how: Fit = Fit()) -> Model:  # noqa: B008
+    """Fit to the labelled rows outside the held-out fold. Only statistics move to meet the labels, never
+    texts; labels of up to labelled_rows rows are broadcast instead."""
+    known = known_rows(labels, label_col, held, id_col)
+    rows = stored(stats.select(F.col(id_col).alias("_id"), "stats").join(bounded(known, how.labelled_rows), "_id").select("stats", "label", "part"))
+    model = fit(rows, how)
+    released(rows)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text", how: Fit = Fit()) -> DataFrame:  # noqa: B008
     """id_col, held_out, score, predicted for every row of docs. Null texts are empty; an empty text is
-    scored from statistics that are all 0. A null id is never held out or learned from."""
+    scored from statistics that are all 0; a long text is read whole. A null id is never held out or
+    learned from. A score of exactly 0.5 predicts 1. Rows repeat as in docs, and count as often in the
+    fit; an empty table gives an empty one; other columns are not read."""
     stats = stored(stats_of(docs, id_col, text_col))
     model = trained(stats, labels, label_col, held, id_col, how)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
@@ -200,8 +224,17 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, how: Fit = Fit()) -> DataFrame:  # noqa: B008
-    """The rows of docs whose score is `least` or more, unchanged; texts are not shuffled."""
-    model = trained(stored(stats_of(docs, id_col, text_col)), labels, label_col, held, id_col, how)
+    """The rows of docs whose score is `least` or more, unchanged; texts are not shuffled.
+
+    If the labelled ids are few enough to be broadcast, statistics of those rows alone are taken for the
+    fit, and each text is read once more for its score. Nulls, empty and long texts, repeated rows: as in
+    scored(). An empty table gives an empty one."""
+    known = known_rows(labels, label_col, held, id_col).select("_id").distinct()
+    few = known.limit(how.labelled_rows + 1).count() <= how.labelled_rows
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    stats = stored(stats_of(plain.join(F.broadcast(known), "_id", "left_semi") if few else plain, "_id", "_text"))
+    model = trained(stats.withColumnRenamed("_id", id_col), labels, label_col, held, id_col, how)
+    released(stats)
 
     def run(batches):
         for batch in batches:
