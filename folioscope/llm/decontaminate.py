@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, pieces, stored
+from .common import as_bytes, bounded, pieces, stored
 
 #: bytes.translate table: A-Z to lower case, ASCII signs that are no letters or digits to spaces.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -22,46 +22,82 @@ SPANS = "array<struct<start:long,end:long>>"
 class Search:
     """window: words of a test phrase. block_bytes: benchmark text that is held at once; a larger
     benchmark is searched in as many blocks, one after the other. shard_bytes: text of an index.
-    sample: every so many suffix positions are kept."""
+    sample: every so many suffix positions are kept. few_rows: rows with hits of earlier blocks that
+    are broadcast at most."""
 
     window: int = 13
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
     shard_bytes: int = 6 << 20
     sample: int = 8
+    few_rows: int = 50_000
 
 
 class Phrases:
-    """The distinct windows of a block of the benchmark, over numbers for its words."""
+    """The distinct windows of a block of the benchmark, as places in one sequence of word numbers: a
+    window is where it ends and how long it is, so overlapping windows share their words."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
         self.items = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.items)}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.translate(FOLDED).split()]
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(number[item])
-        self.windows = list(owners)
-        self.owner_list = np.array([o for w in self.windows for o in sorted(owners[w])], np.int64)
-        self.owner_at = np.cumsum([0, *(len(owners[w]) for w in self.windows)])
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.width = int(self.lengths.max()) if len(self.windows) else 0
-        # Right-aligned, so that column -1 is every phrase's last word.
-        self.matrix = np.zeros((len(self.windows), self.width), np.int64)
-        for row, w in zip(self.matrix, self.windows, strict=True):
-            row[self.width - len(w) :] = w
+        get = self.vocabulary.setdefault
+        parts = [np.fromiter((get(w, len(self.vocabulary) + 1) for w in text.translate(FOLDED).split()), np.int32) for _, text in items]
         self.base = len(self.vocabulary) + 1
-        self.pairs = np.unique([a * self.base + b for w in self.windows for a, b in zip(w, w[1:], strict=False)])
-        self.single = np.unique([w[0] for w in self.windows if len(w) == 1])
-        self.least = int(self.lengths.min()) if len(self.windows) else 0
+        sizes = np.array(list(map(len, parts)), np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        begin, owner = np.cumsum(sizes) - sizes, np.array([number[i] for i, _ in items], np.int64)
+        del parts
+        rungs = {1: self.flat.astype(np.int64)}  # numbers of the 1, 2, 4 ... words from each place
+
+        def codes(length: int, at: np.ndarray) -> np.ndarray:
+            """A number for the `length` words from each place, the same for the same words."""
+            out, step = None, 1
+            while step <= length:
+                if step not in rungs:
+                    half = rungs[step // 2]
+                    rungs[step] = np.unique(half[: -step // 2] * (int(half.max()) + 1) + half[step // 2 :], return_inverse=True)[1]
+                if length & step:
+                    here = rungs[step][at]
+                    out = here if out is None else np.unique(out * (int(rungs[step].max()) + 1) + here, return_inverse=True)[1]
+                    at = at + step
+                step *= 2
+            return out
+
+        ends, lengths, lists = [], [], []
+        for length in np.unique(np.minimum(sizes, window)):
+            if not length:
+                continue
+            mine = np.flatnonzero(np.minimum(sizes, window) == length)
+            n = sizes[mine] - length + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[mine], n)
+            _, first, which = np.unique(codes(int(length), at), return_index=True, return_inverse=True)
+            pair = np.unique((which + sum(map(len, ends))) * len(self.items) + np.repeat(owner[mine], n))
+            ends.append((at[first] + length).astype(np.int32))
+            lengths.append(np.full(len(first), length, np.int32))
+            lists.append(pair)
+        empty = np.zeros(0, np.int32)
+        self.ends, self.lengths = np.concatenate([empty, *ends]), np.concatenate([empty, *lengths])
+        pair = np.concatenate([np.zeros(0, np.int64), *lists])
+        which, self.owner_list = np.divmod(pair, max(1, len(self.items)))
+        self.owner_list = self.owner_list.astype(np.int32)
+        self.owner_at = np.searchsorted(which, np.arange(len(self.ends) + 1)).astype(np.int32)
+        linked = np.ones(max(0, len(self.flat) - 1), bool)
+        linked[begin[(begin > 0) & (begin < len(self.flat))] - 1] = False
+        code = self.flat[:-1].astype(np.int64) * self.base + self.flat[1:]
+        self.pairs = np.unique(code[linked])
+        self.single = np.unique(self.flat[self.ends[self.lengths == 1] - 1])
+        self.least = int(self.lengths.min()) if len(self.ends) else 0
+        self.width = int(self.lengths.max()) if len(self.ends) else 0
+
+    def __len__(self) -> int:
+        return len(self.ends)
 
 
 def live(ids: np.ndarray, p: Phrases) -> np.ndarray:
     """The positions whose words can be part of a phrase: runs of word pairs that the benchmark has, as
     long as the shortest phrase at least. Nothing else of the shard can match, so only they are
     indexed."""
-    if not len(ids) or not len(p.windows):
+    if not len(ids) or not len(p):
         return np.zeros(len(ids), bool)
     code = ids[:-1].astype(np.int64) * p.base + ids[1:]
     at = np.searchsorted(p.pairs, code)
@@ -126,14 +162,14 @@ class Index:
         kept = after[order] | (order % sample == 0)
         self.place = np.where(kept, order, -1)
 
-    def ranges(self, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of right-aligned phrases: their rows from lo up to hi."""
-        lo, hi = np.zeros(len(matrix), np.int64), np.full(len(matrix), len(self.last), np.int64)
-        for j in range(1, matrix.shape[1] + 1):
-            on = np.flatnonzero((lengths >= j) & (lo < hi))
+    def ranges(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of phrases, last word first: their rows from lo up to hi."""
+        lo, hi = np.zeros(len(p), np.int64), np.full(len(p), len(self.last), np.int64)
+        for j in range(1, p.width + 1):
+            on = np.flatnonzero((p.lengths >= j) & (lo < hi))
             if not len(on):
                 break
-            c = matrix[on, -j]
+            c = p.flat[p.ends[on] - j].astype(np.int64)
             both = self.tree.rank(np.concatenate([c, c]), np.concatenate([lo[on], hi[on]]))
             lo[on], hi[on] = self.before[c] + both[: len(on)], self.before[c] + both[len(on) :]
         return lo, hi
@@ -176,7 +212,7 @@ def search(texts: list[bytes], p: Phrases, how: Search) -> tuple[list[int], list
     where = np.full(len(s), -1, np.int64)
     where[room] = at
     index = Index(s, ends, p.base - 1, how.sample)
-    lo, hi = index.ranges(p.matrix, p.lengths)
+    lo, hi = index.ranges(p)
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return sizes, spans, items
@@ -192,9 +228,9 @@ def search(texts: list[bytes], p: Phrases, how: Search) -> tuple[list[int], list
         np.add.at(cover, place, 1)
         np.add.at(cover, place + p.lengths[which], -1)
         doc = np.searchsorted(starts, where[place], "right") - 1
-        pairs.append(np.unique(doc * len(p.windows) + which))
+        pairs.append(np.unique(doc * len(p) + which))
     for code in np.unique(np.concatenate(pairs)):
-        doc, w = divmod(int(code), len(p.windows))
+        doc, w = divmod(int(code), len(p))
         items[doc].append(w)  # type: ignore[arg-type]
     for doc, ws in enumerate(items):
         if ws:
@@ -219,15 +255,15 @@ def merged(a: list[dict], b: list[dict]) -> list[dict]:
 
 
 def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, how: Search):
-    """The benchmark's phrases, block by block; each block is bounded by block_bytes, but for an item
-    that is larger by itself."""
+    """The benchmark's phrases, block by block, and whether a block is the last; each is bounded by about
+    block_bytes, but for an item that is larger by itself."""
     size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = -(-size // how.block_bytes) or 1
-    for k in range(n):
+    for k in range(int(n)):
         rows = benchmark.filter(F.col(text_col).isNotNull())
         if n > 1:
             rows = rows.filter(F.pmod(F.xxhash64(item_col), F.lit(n)) == k)
-        yield Phrases([(r[0], r[1].encode()) for r in rows.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), text_col).collect()], how.window)
+        yield Phrases([(r[0], r[1].encode()) for r in rows.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), text_col).collect()], how.window), k == n - 1
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", how: Search = Search()) -> DataFrame:  # noqa: B008
@@ -236,28 +272,50 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     FM-index of its own.
 
     A null or empty text has no words; benchmark items without words have no phrases; equal items are
-    listed once; rows repeat as in docs. Each block after the first adds to what the ones before found."""
+    listed once, also when their texts differ; rows repeat as in docs; a very long text is a shard by
+    itself. Without a benchmark nothing is marked; an empty table gives an empty one. Of each block but
+    the last only the hits are written, by a key of the text; they meet the documents in the last pass."""
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(f"spans {SPANS}"), T.StructField("items", T.ArrayType(T.StringType()))])
+    added = T.StructType([T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(f"spans {SPANS}"), T.StructField("items", T.ArrayType(T.StringType()))])
     inner = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out, first = docs.select(*[f.name for f in kept]), True
-    for phrases in phrase_blocks(benchmark, item_col, item_text, how):
+    names = {f.name: f"c{i}" for i, f in enumerate(kept)}
+    plain = docs.select(*[F.col(k).alias(v) for k, v in names.items()])
+    text = names[text_col]
+    keyed = plain.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})
+    earlier: DataFrame | None = None
+    blocks = phrase_blocks(benchmark, item_col, item_text, how)
+    for phrases, last in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        if not first:
-            out = stored(out)
-
-        def run(batches, shared=shared, first=first):
-            for batch in batches:
-                for b in pieces(batch, text_col, how.shard_bytes):
-                    sizes, spans, items = search(as_bytes(b, text_col), shared.value, how)
-                    if not first:
-                        spans = [merged(x, y) for x, y in zip(b.column("spans").to_pylist(), spans, strict=True)]
-                        items = [sorted({*x, *y}) for x, y in zip(b.column("items").to_pylist(), items, strict=True)]
-                    columns = [b.column(f.name) for f in kept]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(spans, inner), pa.array(items, pa.list_(pa.string()))], names=schema.names)
-
-        out, first = out.mapInArrow(run, schema), False
-    return out
+
+        def found(b: pa.RecordBatch, shared=shared) -> tuple:
+            return search(as_bytes(b, text), shared.value, how)
+
+        if not last:
+
+            def hit(batches, found=found):
+                for b in (x for batch in batches for x in pieces(batch, text, how.shard_bytes)):
+                    _, spans, items = found(b)
+                    at = np.flatnonzero(list(map(len, spans)))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array([spans[i] for i in at], inner), pa.array([items[i] for i in at], pa.list_(pa.string()))], names=["k1", "k2", "s", "i"])
+
+            rows = stored(keyed.select("k1", "k2", text).mapInArrow(hit, f"k1 long, k2 long, s {SPANS}, i array<string>").dropDuplicates(["k1", "k2"]))
+            earlier = rows if earlier is None else earlier.union(rows)
+            continue
+        if earlier is not None:
+            before = stored(earlier.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("i")).alias("i")))
+            plain = keyed.join(bounded(before, how.few_rows), ["k1", "k2"], "left").drop("k1", "k2")
+
+        def run(batches, found=found, old=earlier is not None):
+            for b in (x for batch in batches for x in pieces(batch, text, how.shard_bytes)):
+                sizes, spans, items = found(b)
+                if old:
+                    spans = [merged(x or [], y) for x, y in zip(b.column("s").to_pylist(), spans, strict=True)]
+                    items = [sorted({*(x or ()), *y}) for x, y in zip(b.column("i").to_pylist(), items, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(v) for v in names.values()), pa.array(sizes, pa.int64()), pa.array(spans, inner), pa.array(items, pa.list_(pa.string()))], names=[*names.values(), *added.names])
+
+        out = plain.mapInArrow(run, T.StructType([*(T.StructField(names[f.name], f.dataType) for f in kept), *added]))
+    return out.select(*[F.col(v).alias(k) for k, v in names.items()], *added.names)
 
 
 def hits() -> Column:
