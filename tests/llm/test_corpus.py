@@ -108,7 +108,7 @@ def test_repeats(spark, odd, none):
     texts += [word(rng.randrange(60)) + base[(i := rng.randrange(2000)) : i + rng.choice([150, 199, 200, 230, 320])] + word(rng.randrange(250)) for _ in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     want = dict(enumerate(plain_repeats([(t or "").encode() for t in texts])))
-    for how in (repeats.Repeat(), repeats.Repeat(hot=0, piece=500, gram=16)):
+    for how in (repeats.Repeat(), repeats.Repeat(hot=0, piece=500, gram=16), repeats.Repeat(hot=6, most=10, gram=32)):
         rows = repeats.repeats(docs, how=how).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
         assert all(sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
