@@ -57,6 +57,37 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.one_of_each(odd, shingle=3).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 3, 4, 5, 8, 10] and sum(r.doc_id is None for r in kept) == 1
+    assert simhash.one_of_each(odd, shingle=3).columns == odd.columns and simhash.one_of_each(none, shingle=3).count() == 0
+
+
+def test_one_of_each_picks_rows(spark):
+    """Ids that repeat with other texts, rows that repeat, rows without an id, nulls in other places."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(30)]
+    rows = [(3, texts[0], "x", None), (5, texts[0], "x", None), (5, texts[1], "x", None), (None, texts[2], None, None), (None, texts[0], "y", None), (7, None, "z", None), (6, "", "z", None)]
+    rows += [(rng.randrange(8), rng.choice(texts), rng.choice("xy"), {"k": "v"}) for _ in range(120)]
+    rows += rows[:40] + [(9, "one of a kind here", None, None), (9, "one of a kind here", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, m map<string,string>").repartition(4)
+    prints = [plain_print(r[1]) for r in rows]
+    root = {f: g for f, g in zip(prints, (c for _, c in sorted_components(prints)))}
+    best = {}
+    for r, f in zip(rows, prints):
+        best.setdefault(root[f], set()).add((r[0] is None, r[0] or 0))
+    got = simhash.one_of_each(docs, shingle=3).collect()
+    assert len(got) == len(best) and all(any((r.doc_id, r.text, r.fp) == x[:3] for x in rows) for r in got)
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(min(v) for v in best.values())
+    assert {root[plain_print(r.text)] for r in got} == set(best)
+    assert sorted(map(str, simhash.one_of_each(docs.repartition(2), shingle=3).collect())) == sorted(map(str, got))
+
+
+def sorted_components(prints):
+    """(fingerprint, component) of each, in the order given."""
+    up = {f: f for f in prints}
+    for _ in up:
+        for a, b in combinations(up, 2):
+            if (a ^ b).bit_count() <= 3:
+                up[a] = up[b] = min(up[a], up[b])
+    return [(f, up[f]) for f in prints]
 
 
 @pytest.mark.parametrize("hot", [2, 256])
@@ -188,6 +219,21 @@ def test_isotonic():
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == pytest.approx(2.5 / 3)
 
 
+def test_normal_equations(spark):
+    """The sums of many small partitions, added level by level, against numpy in one piece."""
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((400, quality.STATS)), rng.integers(0, 2, 400)
+    rows = spark.createDataFrame([(a.tolist(), float(b), int(i % 2)) for i, (a, b) in enumerate(zip(x, y))], "stats array<double>, label double, part int").repartition(13)
+    how = quality.Fit(width=16, fan=3)
+    model = quality.fit(rows, how)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    z = model.lift(x)
+    want = np.linalg.solve(z.T @ z + (how.ridge * len(x) + 1e-9) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, want, atol=1e-8)
+    few = quality.fit(rows.filter("false"), how)
+    assert few.score(x).shape == (400,) and np.isfinite(few.score(x)).all()
+
+
 def held_out(rows, labels, k, r):
     known = {x.doc_id: x[1] for x in labels}
     assert all(x.held_out == (x.doc_id is not None and crc32(str(x.doc_id).encode()) % k == r) for x in rows)
@@ -224,6 +270,64 @@ def test_toxicity_pieces_agree():
     assert small.logits([text, "a", ""])[0] == pytest.approx(whole.logits([text, "a", ""])[0], abs=1e-4)
 
 
+def test_toxicity_gradients():
+    """One step's change of every parameter against finite differences of the loss."""
+    how = toxicity.Fit(buckets=8, width=3, filters=2, epochs=1, batch=4, rate=1e-3)
+    table_, docs = np.arange(20, dtype=np.int32).reshape(5, 4) % 8, [np.array([0, 1, 2, 3]), np.array([4, 1]), np.array([2]), np.array([3, 0, 4])]
+    y = np.array([1.0, 0, 0, 1])
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+
+    def loss(net):
+        z = []
+        for d in docs:
+            e = np.vstack([net.embed[table_[d]].sum(1), np.zeros((2, 3))])
+            z.append(np.maximum(net.responses(net.taps_of(e)).max(0), 0) @ net.out + net.base)
+        z = np.array(z, np.float64)
+        return float((weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y)).mean())
+
+    def fresh():
+        net = toxicity.Net(how)
+        for k in ("embed", "conv", "bias", "out"):
+            setattr(net, k, getattr(net, k).astype(np.float64))
+        net.embed *= 5
+        net.bias += 0.05  # away from the bend at 0
+        return net
+
+    for name in ("embed", "conv", "bias", "out"):
+        before, after = fresh(), fresh()
+        after.train(table_, docs, y)
+        moved, rng = getattr(after, name) - getattr(before, name), np.random.default_rng(1)
+        flat = np.flatnonzero(moved.ravel())
+        for i in rng.choice(flat, min(6, len(flat)), replace=False):
+            at, eps = np.unravel_index(i, moved.shape), 1e-6
+            up, down = fresh(), fresh()
+            getattr(up, name)[at] += eps
+            getattr(down, name)[at] -= eps
+            slope = (loss(up) - loss(down)) / (2 * eps)
+            # Adagrad's first step: rate * g / sqrt(1e-3 + g * g), against the slope.
+            assert moved[at] == pytest.approx(-how.rate * slope / np.sqrt(1e-3 + slope * slope), rel=0.02, abs=1e-7)
+
+
+def test_toxicity_texts_are_apart():
+    """A text's score is its own, whatever texts come before or after."""
+    net = toxicity.Net(toxicity.Fit())
+    texts = ["one two three", "", "four", "five six seven eight", "nine"]
+    alone = [toxicity.Scorer(net, {"": 0.0}, 1.0).logits([t])[0][0] for t in texts]
+    for order in (texts, texts[::-1]):
+        got = toxicity.Scorer(net, {"": 0.0}, 1.0).logits(order)[0]
+        assert dict(zip(order, got)) == pytest.approx(dict(zip(texts, alone)), abs=1e-5)
+
+
+def test_thresholds_by_language():
+    """A language's cut stands at 0.5; one without enough labels goes by the pooled cut."""
+    from pyspark.sql import Row
+
+    bins = lambda said, label, zs: [Row(_said=said, label=label, bin=int(z * 256), n=1, low=z, high=z, micros=int(z * 1e6)) for z in zs]
+    low, high = np.linspace(0, 1, 20).tolist(), np.linspace(3, 4, 20).tolist()
+    cut = toxicity.binned_threshold(bins("en", 0, low) + bins("en", 1, high))
+    assert cut == pytest.approx(2.0) and toxicity.threshold(np.array(low + high), np.array([0.0] * 20 + [1.0] * 20)) == pytest.approx(2.0)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
@@ -250,3 +354,21 @@ def secretive(text):
     from .test_texts import plain_base
 
     return bool(plain_base(text))
+
+
+def test_pipeline_whole(spark, odd, tmp_path):
+    """run() is its stages one after the other; odd and empty tables go through."""
+    import corpus_pipeline as p
+
+    docs = table(spark, "documents")
+    for _, stage in p.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema if stage is not p.mixture else None) if stage is not p.mixture else stage(spark, docs, SF)
+    assert sorted(map(str, p.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+    benchmark, labels = table(spark, "benchmark"), table(spark, "labels")
+    for name, rows in (("odd", odd.drop("copies", "taken")), ("none", odd.drop("copies", "taken").filter("false"))):
+        at = tmp_path / name
+        rows.write.parquet(f"{at}/documents.parquet")
+        benchmark.write.parquet(f"{at}/benchmark.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        got = p.run(spark, str(at)).collect()
+        assert len(got) <= rows.count() and all(r.copies in (1, 2, 3) for r in got)
