@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, fold, pieces, stored
+from .common import as_text, fold, pieces, released, stored
 
 #: bytes.translate table: signs that are no letters or digits become spaces.
 PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -76,8 +76,8 @@ class Net:
         return e @ self.conv.transpose(1, 0, 2).reshape(self.how.width, -1)
 
     def responses(self, taps: np.ndarray) -> np.ndarray:
-        """Filter responses at each token from tap contributions; the last positions wrap and belong
-        to the padding that ends a text."""
+        """Filter responses at each token from tap contributions; those at the padding that ends a text
+        reach into the next one and are not to be used."""
         n, f, at, out = len(taps), self.how.filters, 0, []
         for size in self.how.sizes:
             r = taps[:, at * f : (at + 1) * f].copy()
@@ -112,6 +112,7 @@ class Net:
                 for v in range(VIEWS):
                     e[real] += self.embed[ids[real, v]]
                 r = self.responses(self.taps_of(e))
+                r[~real] = self.bias  # padding sees nothing of the text that follows
                 top = np.maximum.reduceat(r, starts)
                 owner = np.repeat(np.arange(len(pick)), np.diff([*starts, len(ids)]))
                 hit_t, hit_f = np.nonzero(r == top[owner])
@@ -125,7 +126,7 @@ class Net:
                 grad_bias = np.bincount(hit_f, gh, len(self.bias)).astype(np.float32)
                 grad_conv, rows, grads = np.zeros_like(self.conv), [], []
                 for j in range(max(h.sizes)):
-                    use = (size_of[hit_f] > j) & (gh != 0)
+                    use = (size_of[hit_f] > j) & (gh != 0) & real[hit_t]
                     t, k, gj = hit_t[use] + j, hit_f[use], gh[use]
                     np.add.at(grad_conv, (tap_of[k] + j, slice(None), col[k]), gj[:, None] * e[t])
                     de = gj[:, None] * self.conv[tap_of[k] + j, :, col[k]]
@@ -199,7 +200,9 @@ class Scorer:
                 return
             ids = np.fromiter(chain.from_iterable(group), np.int32)
             starts = np.cumsum([0, *map(len, group)])[:-1]
-            top = np.maximum.reduceat(self.responses(ids), starts)
+            r = self.responses(ids)
+            r[ids == 0] = self.net.bias  # padding sees nothing of the text that follows
+            top = np.maximum.reduceat(r, starts)
             hits = np.add.reduceat(self.told[ids], starts)
             for i, t, h in zip(members, np.maximum(top, 0) @ self.net.out + self.net.base, hits, strict=True):
                 z[i], said[i] = t, list(TONGUES)[int(h.argmax())] if h.max() > 0 else ""
@@ -308,8 +311,11 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, held: tuple[int,
     rate = F.when(F.col("_label") == 1, how.positives / max(1, counts.get(1, 0))).otherwise(how.negatives / max(1, counts.get(0, 0)))
     picked = known.filter(u < rate).withColumn("_u", u / F.least(rate, F.lit(1.0)))
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col("_label").alias("label"), "_u")
+    rows = stored(rows)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    return rows.filter(F.col("_u") < how.chars / max(1, total)).select("id", "text", "label").collect()
+    out = rows.filter(F.col("_u") < how.chars / max(1, total)).select("id", "text", "label").collect()
+    released(rows)
+    return out
 
 
 def train(rows: list, how: Fit = Fit()) -> tuple[Scorer, list]:  # noqa: B008
