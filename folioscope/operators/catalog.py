@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.bib import coerce_year, faculty_name, split_authors
 from ..functions.ids import derive_isbn, deslug, directory_token, guess_title, is_valid_isbn, normalize_id
 from ..functions.text import clean, first_true
+from ..sources.state import written
 
-#: Fields of a record, and the columns of a catalog that they come from by default.
+# Fields of a record, and the columns of a catalog that they come from by default.
 FIELDS = ("title", "subtitle", "authors", "year", "publisher", "isbn", "faculty", "language", "catalog")
 COLUMNS = {"directory": "directory_id", "title": "title", "authors": "authors", "year": "year", "publisher": "publisher", "isbn": "isbn", "faculty": "faculty", "language": "language"}
 RECORD = "struct<book_id:string,title:string,subtitle:string,authors:array<string>,year:int,publisher:string,isbn:string,faculty:string,language:string,catalog:string,matched:boolean>"
@@ -49,12 +50,6 @@ def index(recs: DataFrame, key: Column, name: str) -> DataFrame:
     return recs.select(normalize_id(key).alias(name), "row_no", "rec").filter(F.col(name).isNotNull()).groupBy(name).agg(F.min_by("rec", "row_no").alias(f"{name}_rec"))
 
 
-def stub(book_id: Column) -> Column:
-    """The record of a book that the catalog hasn't."""
-    null = F.lit(None).cast("string")
-    return F.struct(book_id.alias("book_id"), deslug(book_id).alias("title"), null.alias("subtitle"), F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), null.alias("publisher"), null.alias("isbn"), null.alias("faculty"), null.alias("language"), null.alias("catalog"), F.lit(False).alias("matched")).cast(RECORD)
-
-
 def lookup(books: DataFrame, recs: DataFrame, key_field: str = "isbn", faculty: str | None = None) -> DataFrame:
     """books with rec: by the key field and the id in the directory's name first, then by the name, else
     a stub. A record is taken whole, and its book_id becomes the book's."""
@@ -64,10 +59,17 @@ def lookup(books: DataFrame, recs: DataFrame, key_field: str = "isbn", faculty:
     else:
         out = out.withColumn("_by_key_rec", F.lit(None).cast(RECORD))
     out = out.join(small(index(recs, F.col("rec.book_id"), "_by_dir")), "_by_dir", "left")
-    rec = F.coalesce("_by_key_rec", "_by_dir_rec", stub(F.col("book_id"))).withField("book_id", F.col("book_id"))
+    # Plain columns first: each is worked out once, and the record picks from them field by field.
+    out = out.withColumn("_hit", F.coalesce("_by_key_rec", "_by_dir_rec"))
+    missed = F.col("_hit").isNull()
+    out = out.withColumn("_name", F.when(missed, deslug("book_id")))
+    hit = {f: F.col("_hit")[f] for f in ("title", *FIELDS[1:])}
+    hit["title"] = F.when(missed, F.col("_name")).otherwise(hit["title"])  # a stub is named for its directory
+    hit["authors"] = F.when(missed, F.array().cast("array<string>")).otherwise(hit["authors"])
     if faculty:
-        rec = rec.withField("faculty", F.coalesce(rec["faculty"], F.when(~rec["matched"], F.col(faculty))))
-    return out.withColumn("rec", rec).select(*books.columns, "rec")
+        hit["faculty"] = F.coalesce(hit["faculty"], F.when(missed, F.col(faculty)))
+    rec = F.struct(F.col("book_id").alias("book_id"), *[v.alias(f) for f, v in hit.items()], (~missed).alias("matched"))
+    return out.withColumn("rec", rec.cast(RECORD)).select(*books.columns, "rec")
 
 
 def attach(books: DataFrame, recs: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
@@ -98,17 +100,18 @@ def enrich(books: DataFrame, providers: list[tuple[str, Callable[[DataFrame], Da
 
     A provider is a table (isbn, found), or a function from the ISBNs not yet found to such a table,
     which then may ask a network. Each is asked once for each distinct valid ISBN that those before it
-    missed. A provider's row with found null and transient true leaves the outcome open."""
-    todo = books.select(F.col(isbn).alias("_isbn")).filter(is_valid_isbn("_isbn")).distinct()
+    missed: its answers are written down before they are used. A provider's row with found null and
+    transient true leaves the outcome open."""
+    todo = written(books.select(F.col(isbn).alias("_isbn")).filter(is_valid_isbn("_isbn")).distinct())
     got: DataFrame | None = None
     for _, provider in providers:
         table = provider(todo.withColumnRenamed("_isbn", "isbn")) if callable(provider) else provider
         flag = F.col("transient") if "transient" in table.columns else F.lit(False)
         rows = table.select(F.col("isbn").alias("_isbn"), F.col("found").cast(FOUND).alias("found"), F.coalesce(flag, F.lit(False)).alias("_transient"))
-        hits = rows.join(todo, "_isbn", "left_semi").filter(F.coalesce(F.col("found.title"), F.lit("")) != "")
-        hits = hits.unionByName(rows.filter("_transient").withColumn("found", F.lit(None).cast(FOUND)))
+        rows = rows.withColumn("found", F.when(F.col("found.title") != "", F.col("found"))).filter("found is not null or _transient")
+        hits = written(rows.join(todo, "_isbn", "left_semi"))
         got = hits if got is None else got.unionByName(hits)
-        todo = todo.join(hits.filter("found is not null").select("_isbn"), "_isbn", "left_anti")
+        todo = written(todo.join(hits.filter("found is not null").select("_isbn"), "_isbn", "left_anti"))
     best = got.groupBy("_isbn").agg(F.max_by("found", F.col("found").isNotNull()).alias("found"), F.bool_or("_transient").alias("_transient")) if got is not None else None
     if best is None:
         return books.withColumns({"found": F.lit(None).cast(FOUND), "outcome": F.lit("miss")})
