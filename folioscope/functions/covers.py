@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bib import faculty_key
@@ -67,6 +67,15 @@ def cover_source(width: C, height: C, mode: str = "opac_then_generated", least:
     return F.when(found, "opac").otherwise(F.lit("generated" if "generated" in mode else "none"))
 
 
+def pdf_outputs(books: DataFrame, keys: list[str], artifacts: str = "artifacts") -> DataFrame:
+    """(keys, profile, path) of the PDFs that a book's artifacts (a map) name, one for each pdf_<profile>;
+    where there is none of those, a single `pdf` is the profile `default`."""
+    made = F.map_filter(artifacts, lambda k, _: k.startswith("pdf_"))
+    single = F.map_filter(artifacts, lambda k, _: k == "pdf")
+    rows = books.select(*keys, F.explode(F.when(F.size(made) > 0, made).otherwise(single)).alias("_k", "path"))
+    return rows.select(*keys, F.when(F.col("_k") == "pdf", "default").otherwise(F.regexp_replace("_k", "^pdf_", "")).alias("profile"), "path")
+
+
 @dataclass(frozen=True)
 class Profile:
     """How the pages of a book become one PDF."""

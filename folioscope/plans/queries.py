@@ -74,8 +74,8 @@ def status_histogram(spark, sf_dir):
     return reports.tally(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@query("""select o_orderpriority as status, count(*) as n from orders where o_orderkey % 2 = 0 group by 1
-          union all select 'TOTAL', count(*) from orders where o_orderkey % 2 = 0""")
+@query("""select o_orderpriority as status, count(*) as n from orders group by 1
+          union all select 'TOTAL', count(*) from orders""")
 def corpus_totals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("status"), "o_orderkey")
     parts = [reports.tally(o.filter(F.col("o_orderkey") % 2 == k)) for k in (0, 1)]
@@ -127,7 +127,7 @@ CATALOG_SQL = """recs as (select p_partkey as row_no, case when p_partkey % 3 =
       case when l_orderkey % 3 = 0 then lpad(cast(l_partkey as varchar), 9, '0') || 'X' when l_orderkey % 3 = 1 then 'FASLUG' || l_partkey else 'BOOK' || l_partkey end as kk,
       case when l_orderkey % 3 = 0 then 'CVIOPACIDFA' || lpad(cast(l_partkey as varchar), 9, '0') || 'X' when l_orderkey % 3 = 1 then 'FASLUG' || l_partkey else 'OLDBOOK' || l_partkey end as dk,
       case when l_orderkey % 3 = 0 then lpad(cast(l_partkey as varchar), 9, '0') || ' X' when l_orderkey % 3 = 1 then 'Fa Slug.' || l_partkey else 'Book ' || l_partkey end as stub
-    from lineitem where l_linenumber = 1),
+    from lineitem),
   looked as (select b.*, coalesce(a.rec, d.rec) as rec from books b left join bykey a on a.k = b.kk left join bydir d on d.k = b.dk)"""
 
 
@@ -153,8 +153,8 @@ def validate_catalog(spark, sf_dir):
     return cat.validate(cat.lookup(wanted(spark, sf_dir), cat.records(sheet(spark, sf_dir), order="row_no")))
 
 
-@query("""with s as (select n_name as source, n_nationkey from nation), t as (select c_nationkey as k, count(*) as total from customer group by 1),
-    o as (select c_nationkey as k, count(*) as books, sum(case when o_orderstatus = 'F' then 1 else 0 end) as produced, avg(o_orderkey % 7) as pace from orders join customer on o_custkey = c_custkey where o_orderkey % 12 = 0 group by 1)
+@query("""with s as (select n_name as source, n_nationkey from nation), t as (select c_nationkey as k, count(*) as total from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1),
+    o as (select c_nationkey as k, count(*) as books, sum(case when o_orderstatus = 'F' then 1 else 0 end) as produced, avg(o_orderkey % 7) as pace from orders join customer on o_custkey = c_custkey group by 1)
     select source, total, coalesce(books, 0) as books, cast(coalesce(produced, 0) as bigint) as produced, round(case when coalesce(total, 0) > 0 then least(100.0 * coalesce(books, 0) / total, 100.0) else 0.0 end, 1) as pct,
     case when greatest(coalesce(total, 0) - coalesce(books, 0), 0) > 0 then round(greatest(coalesce(total, 0) - coalesce(books, 0), 0) * round(pace, 2), 1) end as eta_minutes
     from s left join t on t.k = n_nationkey left join o on o.k = n_nationkey""")
@@ -251,7 +251,7 @@ def middle_sample(spark, sf_dir):
 
 
 @query("""with d as (select conv_id, page, unnest(range(0, 1)) as z from (select conv_id, unnest(range(0, max(turn) // 2 + 2)) as page from conversations group by conv_id)),
-    p as (select conv_id, turn // 2 as page, string_agg(text, chr(10) order by turn) as t from conversations where turn % 4 < 2 group by 1, 2)
+    p as (select conv_id, turn // 2 as page, string_agg(text, chr(10) order by turn) as t from conversations group by 1, 2)
     select d.conv_id, string_agg(coalesce(t, ''), chr(12) order by d.page) as text, length(string_agg(coalesce(t, ''), chr(12) order by d.page)) as ocr_chars
     from d left join p on p.conv_id = d.conv_id and p.page = d.page group by d.conv_id""")
 def plain_text(spark, sf_dir):
@@ -262,16 +262,14 @@ def plain_text(spark, sf_dir):
     return structure.plain_text(lines, dims, ["conv_id"])
 
 
-@query("""with v as (select l_suppkey, l_orderkey, l_linenumber, l_linenumber - l_quantity % 4 as off from (select l_suppkey, l_orderkey, l_linenumber, cast(l_quantity as int) as l_quantity from lineitem) where l_quantity <= 4 or l_quantity >= 46),
-    c as (select l_suppkey, off, count(*) as hits, min(l_orderkey * 10 + l_linenumber) as first from v group by 1, 2)
+@query("""with v as (select l_suppkey, l_orderkey, l_linenumber, l_linenumber - l_quantity % 4 as off, l_quantity % 4 as page from (select l_suppkey, l_orderkey, l_linenumber, cast(l_quantity as int) as l_quantity from lineitem) where l_quantity <= 4 or l_quantity >= 46),
+    c as (select l_suppkey, off, count(*) as hits, min(struct_pack(page := page, line := l_orderkey * 10 + l_linenumber)) as first from v group by 1, 2)
     select l_suppkey, page_offset, hits from (select l_suppkey, off as page_offset, hits, row_number() over (partition by l_suppkey order by hits desc, first) as rn from c) where rn = 1 and hits >= 3""")
 def page_offset_vote(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", (q % 4).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.col("l_linenumber").cast("string").alias("text"), q.alias("y0"), q.alias("y1"))
-    at = lines.filter((F.col("y0") <= 50 * 0.08) | (F.col("y1") >= 50 * 0.92))
-    votes = at.withColumn("page_offset", F.col("text").cast("int") - F.col("page"))
-    counts = votes.groupBy("l_suppkey", "page_offset").agg(F.count("*").alias("hits"), F.min("line_no").alias("_first"))
-    return structure.modal(counts, ["l_suppkey"], "page_offset", 3)
+    dims = lines.select("l_suppkey", "page").distinct().withColumn("h", F.lit(50))
+    return structure.page_offset(lines, dims, ["l_suppkey"])
 
 
 @query("""select l_suppkey, median(l_quantity) as body, count(*) as n_body from lineitem where l_linenumber >= 3 group by 1 having count(*) >= 10""")
@@ -296,7 +294,8 @@ def merge_headings(spark, sf_dir):
     return structure.headings(sized, ["doc_id"])
 
 
-@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title from pages where regexp_matches(html, '(?s)<title[^>]*>.*?</title>') and regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) not like '%&%'""")
+@query(r"""with t as (select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title from pages where regexp_matches(html, '(?s)<title[^>]*>.*?</title>'))
+    select page_id, replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') as title from t""")
 def parse_markup(spark, sf_dir):
     return structure.markup_lines(table(spark, sf_dir, "pages")).filter("tag = 'title'").select("page_id", F.col("text").alias("title"))
 
@@ -318,9 +317,10 @@ def size_stats(spark, sf_dir):
     return reports.size_stats(d)
 
 
-@query("""select p_partkey, case when p_size * 10 >= 80 and p_partkey % 300 >= 80 then 'opac' else 'generated' end as cover from part""")
+@query("""select p_partkey, case when p_partkey % 11 <> 0 and p_size * 10 >= 80 and p_partkey % 300 >= 80 then 'opac' else 'generated' end as cover from part""")
 def cover_source(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", covers.cover_source(F.when(F.col("p_partkey") % 11 != 0, F.col("p_size") * 10).otherwise(F.col("p_size") * 10), F.col("p_partkey") % 300).alias("cover"))
+    width = F.when(F.col("p_partkey") % 11 != 0, F.col("p_size") * 10)  # else no cover was found
+    return table(spark, sf_dir, "part").select("p_partkey", covers.cover_source(width, F.col("p_partkey") % 300).alias("cover"))
 
 
 @query("""select p_partkey, profile, case when profile = 'archival' and p_partkey % 3 <> 0 then p_retailprice else 0.0 end as mb, profile = 'archival' as pdfa from part, (values ('archival'), ('distribution')) as t(profile)""")
@@ -331,6 +331,16 @@ def pdfa_profiles(spark, sf_dir):
     return rows.select("p_partkey", "profile", F.coalesce(F.try_element_at("outputs", F.col("profile"))["mb"], F.lit(0.0)).alias("mb"), F.col("pdfa").isNotNull().alias("pdfa"))
 
 
+@query("""select p_partkey, profile, '/out/' || profile || p_partkey as path from part, (values ('archival'), ('distribution')) as t(profile) where p_partkey % 3 = 0
+    union all select p_partkey, 'default', '/out/' || p_partkey from part where p_partkey % 3 = 1""")
+def pdf_outputs(spark, sf_dir):
+    k = F.col("p_partkey")
+    path = lambda name: F.concat(F.lit(f"/out/{name}"), k.cast("string"))
+    made = F.when(k % 3 == 0, F.create_map(F.lit("pdf_archival"), path("archival"), F.lit("pdf"), path(""), F.lit("pdf_distribution"), path("distribution"), F.lit("hocr"), path("h")))
+    made = made.when(k % 3 == 1, F.create_map(F.lit("pdf"), path(""))).otherwise(F.create_map(F.lit("hocr"), path("h")))
+    return covers.pdf_outputs(table(spark, sf_dir, "part").select("p_partkey", made.alias("artifacts")), ["p_partkey"])
+
+
 @query("""select p_partkey, 'fad_' || p_partkey as slug, case when p_partkey % 2 = 0 then 'special' else 'main' end as catalog, case when p_partkey % 3 = 0 then 'sk' else 'slk' end as language_code, case when p_partkey % 4 <> 0 then cast(1900 + p_partkey % 120 as varchar) end as published_at,
     case when p_partkey % 5 = 0 then lpad(cast(p_partkey as varchar), 13, '9') end as isbn, 'fad_' || p_partkey || '.pdf' as pdf, 2 as n_authors, 'Jan' as first_name, case when p_partkey % 4 <> 0 then true else false end as dated from part""")
 def manifest_json(spark, sf_dir):
@@ -350,7 +360,7 @@ def active_workers(spark, sf_dir):
     return reports.active(beats, now, 50.0).select("book_id", "updated_at", "elapsed", "elapsed_text")
 
 
-@query("""select o_orderpriority as source, cast(o_orderkey as varchar) as book_id, o_orderstatus as status, o_totalprice as pdf_mb from orders order by source, book_id limit 200""")
+@query("""select o_orderpriority as source, cast(o_orderkey as varchar) as book_id, o_orderstatus as status, o_totalprice as pdf_mb from orders order by source, book_id""")
 def csv_projection(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("string").alias("book_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("pdf_mb"), F.lit(1).alias("extra"))
     return sinks.csv_rows(rows).select("source", "book_id", "status", "pdf_mb")
@@ -362,7 +372,7 @@ def limit_sorted(spark, sf_dir):
 
 
 @query("""select o_orderkey, case when o_orderkey % 2 = 0 then 's2 wins' when o_orderkey % 3 = 0 then 's3' end as title, case when o_orderkey % 2 = 0 or o_orderkey % 3 = 0 then 'hit' when o_orderkey % 5 = 0 then 'transient' else 'miss' end as outcome
-    from orders where o_orderkey % 10 <> 9""")
+    from orders""")
 def isbn_enrichment(spark, sf_dir):
     k = F.col("o_orderkey")
     nine = F.lpad(k.cast("string"), 9, "0")

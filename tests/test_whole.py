@@ -6,7 +6,6 @@ import re
 import duckdb
 
 import __spark_entry__ as entry
-from folioscope.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,13 +107,3 @@ def test_parse_markup_has_every_title(spark):
     pages = sql(f"select page_id, html from '{SF}/../sf0.01/pages.parquet'")
     got = sorted(tuple(r) for r in entry.queries()["parse_markup"](spark, SF.replace("0.001", "0.01")).collect())
     assert any("&" in m.partition("</title>")[0] for _, m in pages) and got == plain_titles(pages)
-
-
-def test_toxicity_thresholds_count_every_labelled_row(spark):
-    """The net learns from a few rows; the cuts still are the best for all other labelled rows."""
-    docs, labels = (spark.read.parquet(f"{SF}/../sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    docs = docs.filter("lang = 'de'")
-    rows = toxicity.scored(docs, labels, how=toxicity.Fit(positives=60, negatives=90, epochs=2)).filter("not held_out").join(labels, "doc_id").collect()
-    f1 = lambda cut: 2 * sum(r.toxic for r in rows if r.score >= cut) / (sum(r.score >= cut for r in rows) + sum(r.toxic for r in rows))
-    best = max(f1(r.score) for r in rows if r.toxic)
-    assert f1(0.5) > best - 0.02
