@@ -262,6 +262,16 @@ def test_toxicity(spark, odd, none):
     assert toxicity.scored(none, labels).count() == 0
 
 
+def test_toxicity_thresholds_count_every_labelled_row(spark):
+    """The net learns from a few rows; the cuts still are the best for all other labelled rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.filter("lang = 'de'")
+    rows = toxicity.scored(docs, labels, how=toxicity.Fit(positives=60, negatives=90, epochs=2)).filter("not held_out").join(labels, "doc_id").collect()
+    f1 = lambda cut: 2 * sum(r.toxic for r in rows if r.score >= cut) / (sum(r.score >= cut for r in rows) + sum(r.toxic for r in rows))
+    best = max(f1(r.score) for r in rows if r.toxic)
+    assert f1(0.5) > best - 0.02
+
+
 def test_toxicity_pieces_agree():
     """A text with more words than the cache holds gets the score of one pass."""
     net = toxicity.Net(toxicity.Fit())
