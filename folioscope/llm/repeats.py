@@ -391,7 +391,7 @@ def decided(parts: DataFrame, how: Repeat) -> DataFrame:
     rows = rows.dropDuplicates(["gram", "whole"])
     while True:
         rows = stored(halves(rows.drop("size"), how))
-        sizes = rows.groupBy("key", "key2").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").drop("least")
+        sizes = stored(rows.groupBy("key", "key2").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").drop("least"))
         rows = stored(rows.join(sizes, ["key", "key2"]))
         one = rows.filter("lo = hi and n = 1").select("gram", "whole", F.array(F.struct(F.col("lo").alias("x0"), F.col("hi").alias("x1"))).alias("runs"))
         out += [one, ordered(rows.filter((F.col("size") <= how.hot) & (F.col("lo") < F.col("hi"))), how)]
@@ -411,12 +411,12 @@ def removed(docs: DataFrame, text_col: str = "text", how: Repeat = Repeat()) ->
     keyed = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     plain = keyed.filter(F.octet_length("text") >= how.length).select("k1", "k2", "text")
     places = stored(parse(plain, how))
-    grams = places.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    # Both written, so that a frequent gram's rows may be split over tasks.
+    # Counts are written before the joins by gram, so that a frequent gram's rows may be split over tasks.
+    grams = stored(places.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     found = stored(places.join(grams, "gram"))
-    released(places)
+    released(places, grams)
     kinds = stored(found.groupBy("gram", "whole").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "a", "before", "after")]))
-    buckets = kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").select("gram", "size")
+    buckets = stored(kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").select("gram", "size"))
     parts = stored(contexts(plain, stored(kinds.join(buckets, "gram")), how))
     every = kinds.filter("n > 1").select("gram", "whole", F.lit(None).cast("array<struct<x0:int,x1:int>>").alias("runs"))
     verdict = every.union(decided(parts, how))
