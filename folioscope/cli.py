@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from .operators import catalog as cat
 from .operators import drawing, reports
 from .plans import stages
 from .sources import readers, sinks
+from .sources.state import written
 from .streaming import logs
 
 
@@ -105,28 +108,47 @@ class Job:
         logs.monitor(logs.log_stream(self.spark, a.log), checkpoint, show, a.once, f"{a.interval} seconds").awaitTermination()
         return 0
 
+    def entry(self) -> dict:
+        """with_manifest's options."""
+        c = self.config.get("catalog", {})
+        return {"relation": c.get("relation", "open-access"), "entry_config": c.get("entry_config"), "language": c.get("default_language", "slk"), "order": c.get("author_name_order", "given_first")}
+
     def manifests(self, a) -> DataFrame:
         books = self.books(a.source, getattr(a, "limit", None))
-        c = self.config.get("catalog", {})
-        return stages.with_manifest(cat.attach(books, self.catalog(), self.config.get("metadata", {}).get("faculty_names")), c["catalog"], c.get("relation", "open-access"), c.get("entry_config"), c.get("default_language", "slk"), c.get("author_name_order", "given_first"), self.out)
+        names = self.config.get("metadata", {}).get("faculty_names")
+        return stages.with_manifest(cat.attach(books, self.catalog(), names), self.config["catalog"]["catalog"], root=self.out, **self.entry())
 
     def export_manifests(self, a) -> int:
-        sinks.write_manifests(self.manifests(a), f"{self.out}/manifests")
+        rows = written(self.manifests(a))
+        sinks.write_manifests(rows, f"{self.out}/manifests")
+        print(sinks.write_sidecars(rows, self.out).count())
         return 0
 
+    def connected(self):
+        """The transport that was given, else one to the configured address with the key of the
+        environment variable that the configuration names."""
+        c = self.config["catalog"]
+        return self.transport or sinks.http_transport(c.get("base_url", ""), os.environ.get(c.get("api_key_env", "CATALOG_API_KEY"), ""), c.get("relation", "open-access"))
+
     def publish(self, a) -> int:
+        """Side files of entries are sent as they are, but for a single book, whose entry is built anew.
+        Only this run's rows are counted."""
         if not self.config.get("catalog", {}).get("enabled"):
             return 0
-        books = self.books(a.source)
-        if getattr(a, "book_id", None):
-            books = books.filter(F.col("book_id") == a.book_id)
-        log = readers.publish_log(self.spark, f"{self.out}/publish/*.json")
-        force = getattr(a, "force", False) or bool(getattr(a, "book_id", None))
-        work = stages.publish_plan(self.spark, books, self.catalog(), log, self.config["catalog"]["catalog"], getattr(a, "limit", None), force)
-        rows = sinks.publish(work, self.transport or (lambda *x: {}), dry=a.dry_run)
-        if not a.dry_run:
-            sinks.append_log(rows, f"{self.out}/publish")
-            rows = self.spark.read.schema(sinks.PUBLISH).json(f"{self.out}/publish").join(work.select("source", "book_id"), ["source", "book_id"], "left_semi")
+        books, alone = self.books(a.source), getattr(a, "book_id", None)
+        if alone:
+            books = books.filter(F.col("book_id") == alone)
+        log = readers.publish_log(self.spark, f"{self.out}/publish/{{*.json,*/*.json}}")
+        side = readers.manifests(self.spark, self.out) if not alone and readers.exists(self.spark, f"{self.out}/*/*.entry.json") else None
+        work = stages.publish_plan(self.spark, books, self.catalog(), log, self.config["catalog"]["catalog"], getattr(a, "limit", None), getattr(a, "force", False) or bool(alone), side, self.out, **self.entry())
+        if a.dry_run:
+            rows = sinks.publish(work, lambda *x: {}, dry=True)
+        else:
+            transport = self.connected()
+            known = self.spark.createDataFrame(sinks.catalogs(transport), "id string, url_name string, title string")
+            run = f"{self.out}/publish/{uuid.uuid4().hex}"
+            sinks.append_log(sinks.publish(sinks.resolve_catalog(work, known), transport), run)
+            rows = self.spark.read.schema(sinks.PUBLISH).json(run)
         counts = {r.status: r.n for r in reports.tally(rows).collect()}
         print(json.dumps(counts))
         return int("error" in counts)

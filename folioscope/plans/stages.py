@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bib
 from ..functions.covers import profiles
@@ -17,7 +18,8 @@ from ..functions.text import pdf_path
 from ..operators import catalog as cat
 from ..operators import reports
 from ..sources import readers, sinks
-from ..sources.schemas import REPORT
+from ..sources.schemas import MANIFEST, REPORT
+from ..sources.state import written
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -112,16 +114,16 @@ def with_manifest(books: DataFrame, catalog: str, relation: str = "open-access",
 def run_sources(books: DataFrame, plan: Plan, produced: DataFrame, root: str, log: str | None = None, limit: int | None = None) -> DataFrame:
     """Report rows for the books of all sources at once: those whose main PDF is there are `skipped`.
 
-    The limit takes the first books of each source."""
+    The limit takes the first books of each source. Tools run once: the rows returned are those of this
+    run, written down, whatever else the log holds."""
     picked = reports.first_of_order(books, ["source"], ["book_id"], limit) if limit else books
     path = pdf_path(F.lit(root), "source", F.concat_ws("_", "source", "book_id"), F.lit("distribution"))
     todo = reports.not_produced(picked, produced, path)
     names = [f.name for f in plan.process(todo).schema.fields]
     done = picked.join(todo.select("source", "book_id"), ["source", "book_id"], "left_anti").select(*[F.col(c) if c in ("source", "book_id") else (F.lit("skipped") if c == "status" else F.lit(None)).alias(c) for c in names])
-    rows = plan.process(todo).unionByName(done)
+    rows = written(plan.process(todo).unionByName(done))
     if log:
         sinks.append_log(rows, log)
-        return rows.sparkSession.read.schema(REPORT).json(log)
     return rows
 
 
@@ -141,15 +143,20 @@ def build_catalog(books: DataFrame, providers: list | None = None) -> DataFrame:
     return cat.draft_rows(found, "found")
 
 
-def publish_plan(spark: SparkSession, books: DataFrame, recs: DataFrame, log: DataFrame, catalog: str, limit: int | None = None, force: bool = False, sidecars: DataFrame | None = None) -> DataFrame:
-    """What an import has to send: (source, book_id, catalog, payload, pdf). The limit comes before the
-    books that are done go; a side file wins over an entry built anew."""
+def publish_plan(spark: SparkSession, books: DataFrame, recs: DataFrame, log: DataFrame, catalog: str, limit: int | None = None, force: bool = False, sidecars: DataFrame | None = None, root: str = "out", **entry) -> DataFrame:
+    """What an import has to send: (source, book_id, catalog, payload, pdf, cover). The limit comes before
+    the books that are done go; a side file wins over an entry built anew, for which `entry` are
+    with_manifest's options. Files that an entry names are below root/source."""
     todo = reports.remaining(books, reports.already_done(log), "book_id", limit, force)
-    built = with_manifest(cat.lookup(todo, recs), catalog)
+    built = with_manifest(cat.lookup(todo, recs), catalog, root=root, **entry)
     if sidecars is not None:
-        side = sidecars.select(F.col("source"), F.col("book_id"), F.struct(*[c for c in sidecars.columns if c != "path"]).alias("_side"))
-        built = built.join(side, ["source", "book_id"], "left").withColumn("manifest", F.coalesce(F.col("_side").cast(built.schema["manifest"].dataType), "manifest"))
-    return built.select("source", "book_id", F.col("manifest.catalog").alias("catalog"), bib.entry_payload(F.col("manifest")).alias("payload"), F.col("pdf") if "pdf" in built.columns else F.col("manifest.pdf").alias("pdf"))
+        kinds = T.StructType.fromDDL(MANIFEST)
+        shaped = lambda at: F.struct(*[F.col(f"{at}{f.name}").cast(f.dataType).alias(f.name) for f in kinds])
+        side = sidecars.select("source", "book_id", shaped("").alias("_side"))
+        side = side.groupBy("source", "book_id").agg(F.max_by("_side", F.to_json("_side")).alias("_side"))
+        built = built.join(side, ["source", "book_id"], "left").withColumn("manifest", F.coalesce("_side", shaped("manifest.")))
+    beside = lambda f: F.concat(F.lit(f"{root}/"), "source", F.lit("/"), f"manifest.{f}").alias(f)  # noqa: E731 - null where none
+    return built.select("source", "book_id", F.col("manifest.catalog").alias("catalog"), bib.entry_payload(F.col("manifest")).alias("payload"), F.col("pdf") if "pdf" in built.columns else beside("pdf"), beside("cover"))
 
 
 def conformance(validator: Callable[[str], bool] | None) -> Callable[[dict], dict]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import mimetypes
 import time
 import urllib.error
 import urllib.request
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, percent
-from ..operators.reports import summarize, summarize_by_source
+from ..operators.reports import UNKNOWN, as_map, keyed, summarize, summarize_by_source, tally
 from .schemas import PUBLISH
 
 #: The columns of the CSV export, in order.
@@ -42,10 +44,14 @@ def write_csv(rows: DataFrame, path: str) -> str:
 
 
 def summary_json(rows: DataFrame) -> DataFrame:
-    """One row with the summary as JSON: overall, and by source."""
-    whole = summarize(rows).select(F.struct("*").alias("overall"))
-    each = summarize_by_source(rows).select("source", F.struct("*").dropFields("source").alias("s"))
-    by = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "s")))).alias("by_source"))
+    """One row with the summary as JSON: overall, and by source, each with its count of every status."""
+    whole = summarize(rows).crossJoin(as_map(tally(rows, missing=UNKNOWN))).select(F.struct("*").alias("overall"))
+    said = keyed(rows).groupBy("source", "status").agg(F.count("*").alias("n")).groupBy("source")
+    said = said.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("by_status"))
+    each = summarize_by_source(rows).join(said, "source", "left").select("source", F.struct("*").dropFields("source").alias("s"))
+    # Maps have no order, so the entries are compared by their source alone.
+    before = lambda a, b: F.when(a["source"] < b["source"], -1).when(a["source"] > b["source"], 1).otherwise(0)
+    by = each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "s")), before)).alias("by_source"))
     return whole.crossJoin(by).select(F.to_json(F.struct("overall", "by_source"), {"ignoreNullFields": "false"}).alias("value"))
 
 
@@ -103,6 +109,27 @@ def write_manifests(rows: DataFrame, folder: str, manifest: str = "manifest") ->
     rows.select(F.col(f"{manifest}.source").alias("source"), F.to_json(manifest).alias("value")).write.mode("append").partitionBy("source").text(folder)
 
 
+def write_sidecars(rows: DataFrame, folder: str, manifest: str = "manifest") -> DataFrame:
+    """One file <folder>/<source>/<slug>.entry.json for each row's entry, which `readers.manifests` reads;
+    returns (path). The folder is one that all executors have mounted. A file is moved into place whole,
+    so a task that runs again leaves the same files; of rows with one slug the last written stays."""
+    cells = rows.select(F.col(f"{manifest}.source").alias("source"), F.col(f"{manifest}.slug").alias("slug"), F.to_json(manifest, {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches):
+        for batch in batches:
+            paths = []
+            for source, slug, value in zip(batch["source"], batch["slug"], batch["value"], strict=True):
+                path = Path(folder) / source / f"{slug}.entry.json"
+                path.parent.mkdir(parents=True, exist_ok=True)
+                draft = path.with_name(f".{uuid.uuid4().hex}.tmp")
+                draft.write_text(json.dumps(json.loads(value), ensure_ascii=False, indent=2), encoding="utf-8")
+                draft.replace(path)
+                paths.append(str(path))
+            yield pd.DataFrame({"path": paths})
+
+    return cells.mapInPandas(run, "path string")
+
+
 def beat(folder: str, source: str, book_id: str, step: str, index: int, steps: int, started: float, now: float | None = None, pid: int = 0) -> str:
     """One heartbeat as a new file, which a stream sees; the newest of a book counts."""
     at = time.time() if now is None else now
@@ -133,39 +160,92 @@ class EntryError(Exception):
         self.status = status
 
 
-def http_transport(base: str, key: str) -> Callable[[str, str, bytes, str], dict]:
-    """A transport that posts to a catalog's REST interface."""
+def multipart(fields: Mapping[str, str], name: str, filename: str, data: bytes, kind: str) -> tuple[bytes, str]:
+    """Body and content type of a form with one file. The boundary occurs nowhere in the parts."""
+    parts = [(f'name="{k}"', "text/plain; charset=utf-8", v.encode()) for k, v in fields.items()]
+    parts.append((f'name="{name}"; filename="{filename}"', kind, data))
+    mark = uuid.uuid4().hex
+    while any(mark.encode() in body for _, _, body in parts):
+        mark = uuid.uuid4().hex
+    out = [f"--{mark}\r\nContent-Disposition: form-data; {head}\r\nContent-Type: {k}\r\n\r\n".encode() + body + b"\r\n" for head, k, body in parts]
+    return b"".join(out) + f"--{mark}--\r\n".encode(), f"multipart/form-data; boundary={mark}"
+
+
+def data_uri(path: str, read: Callable[[str], bytes]) -> str | None:
+    """A cover as a data URI; None if there is no such file."""
+    try:
+        data = read(path)
+    except FileNotFoundError:
+        return None
+    return f"data:{mimetypes.guess_type(path)[0] or 'image/jpeg'};base64,{base64.b64encode(data).decode()}"
+
+
+def parsed(raw: bytes) -> dict:
+    """An answer's JSON object; empty if it is none."""
+    try:
+        said = json.loads(raw)
+    except ValueError:
+        return {}
+    return said if isinstance(said, dict) else {}
+
+
+def http_transport(base: str, key: str, relation: str = "open-access", timeout: float = 60.0) -> Callable[[str, str, bytes, str], dict]:
+    """A transport to a catalog's REST interface. A PDF goes as a form with its relation."""
     if not key:
         raise ValueError("an API key is needed")
+    if not base:
+        raise ValueError("the catalog's address is needed")
 
     def send(method: str, path: str, body: bytes, kind: str) -> dict:
-        request = urllib.request.Request(base + path, body, {"Content-Type": kind, "Authorization": f"Bearer {key}"}, method=method)
+        if kind == "application/pdf":
+            body, kind = multipart({"metadata": json.dumps({"relation": relation})}, "content", f"{path.rsplit('/', 1)[-1]}.pdf", body, kind)
+        headers = {"Accept": "application/json", "Authorization": f"Bearer {key}"} | ({"Content-Type": kind} if body else {})
+        request = urllib.request.Request(f"{base.rstrip('/')}/{path.lstrip('/')}", body or None, headers, method=method)
         try:
-            with urllib.request.urlopen(request, timeout=60) as answer:  # noqa: S310
-                return json.loads(answer.read() or b"{}")
+            with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+                return parsed(answer.read())
         except urllib.error.HTTPError as e:
-            said = json.loads(e.read() or b"{}")
+            said = parsed(e.read())
             raise EntryError(next((said[k] for k in ("title", "detail", "message") if said.get(k)), str(e)), e.code) from e
 
     return send
 
 
+def catalogs(transport: Callable[[str, str, bytes, str], dict]) -> list[tuple[str, str, str]]:
+    """(id, url_name, title) of every catalog, page by page."""
+    out, page, pages = [], 1, 1
+    while page <= pages:
+        said = transport("GET", f"/catalogs?limit=100&page={page}", b"", "")
+        out += [(str(c["id"]), c.get("url_name"), c.get("title")) for c in said.get("items") or []]
+        page, pages = page + 1, int((said.get("metadata") or {}).get("pages") or 1)
+    return out
+
+
 def publish(work: DataFrame, transport: Callable[[str, str, bytes, str], dict], read: Callable[[str], bytes] | None = None, dry: bool = False) -> DataFrame:
-    """A log row for each entry of work (source, book_id, catalog, payload JSON, pdf path). The answer
-    409 means that the entry is there: skipped. Any other failure is an error row, and the rest goes
-    on."""
+    """A log row for each entry of work (source, book_id, catalog, payload JSON, pdf path; where there:
+    cover path, whose picture goes into the payload, and catalog_id, which a null means wasn't found).
+    The answer 409 means that the entry is there: skipped. Any other failure is an error row, and the
+    rest goes on."""
+    more = [c for c in ("cover", "catalog_id") if c in work.columns]
+    load = read or (lambda p: Path(p).read_bytes())
 
     def one(r: dict) -> dict:
         out = dict.fromkeys(x.split()[0] for x in PUBLISH.split(", ")) | {k: r[k] for k in ("source", "book_id", "catalog")}
         if dry:
             return out | {"status": "dry-run"}
         try:
-            entry = transport("POST", f"/catalogs/{r['catalog']}/entries", r["payload"].encode(), "application/json")
+            place = r.get("catalog_id", r["catalog"])
+            if not place:
+                raise EntryError(f"catalog {r['catalog']!r} not found")
+            payload = json.loads(r["payload"])
+            image = data_uri(r["cover"], load) if r.get("cover") else None
+            body = json.dumps(payload | ({"image": image} if image else {}), ensure_ascii=False)
+            entry = transport("POST", f"/catalogs/{place}/entries", body.encode(), "application/json")
             ident = entry.get("id") or (entry.get("response") or {}).get("id")
             if not ident:
                 raise EntryError("the answer has no id")
-            got = transport("POST", f"/catalogs/{r['catalog']}/entries/{ident}", (read or (lambda p: Path(p).read_bytes()))(r["pdf"]), "application/pdf")
-            return out | {"status": "published", "entry_id": ident, "acquisition_id": got.get("id")}
+            got = transport("POST", f"/catalogs/{place}/entries/{ident}", load(r["pdf"]), "application/pdf")
+            return out | {"status": "published", "entry_id": ident, "acquisition_id": got.get("id") or (got.get("response") or {}).get("id")}
         except EntryError as e:
             return out | ({"status": "skipped", "detail": str(e)[:500]} if e.status == 409 else {"status": "error", "error": str(e)[:500]})
         except Exception as e:  # noqa: BLE001 - one book's failure is its row
@@ -175,7 +255,7 @@ def publish(work: DataFrame, transport: Callable[[str, str, bytes, str], dict],
         for pdf in batches:
             yield pd.DataFrame([one(r) for r in pdf.to_dict("records")], columns=[x.split()[0] for x in PUBLISH.split(", ")])
 
-    return work.select("source", "book_id", "catalog", "payload", "pdf").mapInPandas(run, PUBLISH)
+    return work.select("source", "book_id", "catalog", "payload", "pdf", *more).mapInPandas(run, PUBLISH)
 
 
 def resolve_catalog(work: DataFrame, catalogs: DataFrame) -> DataFrame:
