@@ -104,7 +104,8 @@ class Job:
 
     def monitor(self, a) -> int:
         show = lambda df, n: df.orderBy("source").show(200, False)
-        checkpoint = self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.out}/.monitor"
+        # A folder of its own: the figures are of the whole log, and monitors of other logs keep theirs.
+        checkpoint = f"{self.spark.conf.get('spark.checkpoint.dir', None) or self.out + '/.monitor'}/monitor/{uuid.uuid4().hex}"
         logs.monitor(logs.log_stream(self.spark, a.log), checkpoint, show, a.once, f"{a.interval} seconds").awaitTermination()
         return 0
 
